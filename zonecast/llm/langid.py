@@ -32,6 +32,12 @@ MOST_LANGUAGES, CACHE_SIZE, FLUSH, BLOCK, LONGEST, SMOOTH = 200, 200_000, 200_00
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Makes the top bits, by which the table is read, depend on all bits."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 class Vocabulary:
     """The pieces of a sentencepiece model, by the hash of their code points; unknown characters are byte pieces."""
 
@@ -45,7 +51,7 @@ class Vocabulary:
         self.size = size
         self.bytes = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.longest = max(map(len, texts))
-        hashes = np.array([self.hash_one(x) for x in texts], np.uint64)
+        hashes = _spread(np.array([self.hash_one(x) for x in texts], np.uint64))
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(plain)[order]
         self.slots = 1 << 20
@@ -63,6 +69,7 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids by hash, or -1."""
+        hashes = _spread(hashes)
         at = self.table[(hashes >> np.uint64(44)).astype(np.int64)]
         out = np.full(len(hashes), -1, np.int64)
         todo = np.flatnonzero(at >= 0)

@@ -89,10 +89,10 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         sums = np.add.reduceat(mixed, starts)
-        out.append(_mix(sums + part[starts] * _B + np.uint64(c) * _C))
+        out.append(_mix(sums + part[starts] * _B + np.array([c], np.uint64) * _C))
         if parts - len(starts) > spare[c]:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-            out.append(_mix(empty * _B + np.uint64(c) * _C + np.uint64(1)))
+            out.append(_mix(empty * _B + np.array([c], np.uint64) * _C + np.uint64(1)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
