@@ -6,8 +6,9 @@
    is not empty unless over E are (sets with so many empty parts also sign these). Sets of sizes that can reach the
    threshold use the same parts, so no link is lost and no token's frequency matters: a passage that many
    documents share makes no candidates unless all else in its part is shared too.
-3. Groups: sets that share a signature are compared with the least set of that signature, and verified links make
-   groups. Groups are held in blocks of BLOCK sets; a block stores its token union and least size.
+3. Groups: sets that share signatures are compared with the least set of those, and verified links make groups.
+   Sets without a link are grouped by their least shared signature. Groups are held in blocks of about BLOCK sets;
+   a block stores its members, their token union and the least size.
 4. A set whose signature is also in another group's block is a query of that block. Its overlap with the union
    bounds its overlap with any member; only blocks whose bound reaches the threshold are opened, and their members
    compared one by one. Sets already in one group need no comparison: components need one link, not all.
@@ -146,9 +147,10 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     shared = keep(signed.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high"), "shared")
     many = keep(signed.join(shared.where("n > 2").select("sign", "low"), "sign"), "many")
-    pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(many.where("d <> low").select("low", "d")).distinct()
-    pairs = keep(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # a set is compared with the leaders it meets twice; what that leaves apart is compared between groups
+    led = many.where("d <> low").groupBy("low", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", "d")
+    pairs = keep(shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(led).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(many.select("d")).distinct()
     sets = keep(_sets(docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi"), words, percent, True), "tokens")
     drop(shared)
 
@@ -162,25 +164,32 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def _between(many: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between groups, from signatures (sign, d) of three and more sets: query, bound, open."""
+    """Links (a, b) between groups, from signatures (sign, d) of three and more sets: query, bound, open.
+
+    A block holds sets of one verified group, or sets without a link that share their least signature. A query
+    opens a block at most once, and compares itself with the block's members where the block is.
+    """
     of = groups.select(F.col("id").alias("d"), F.col("component").alias("g"))
-    cells = many.select("sign", "d").join(of, "d", "left").withColumn("g", F.coalesce("g", "d"))
+    cells = many.select("sign", "d").join(of, "d", "left").withColumn("alone", F.col("g").isNull()).withColumn("g", F.coalesce("g", "d"))
     apart = cells.groupBy("sign").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("sign")
-    cells = cells.join(apart, "sign", "left_semi")
-    sizes = groups.groupBy(F.col("component").alias("g")).agg(F.count(F.lit(1)).alias("gn"))
-    cells = cells.join(sizes, "g", "left").withColumn("gn", F.coalesce("gn", F.lit(1)))
-    block = F.when(F.col("gn") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("d"), F.ceil(F.col("gn") / BLOCK))).cast("int")
-    cells = keep(cells.withColumn("block", block), "cells")
-    held = cells.select("sign", F.col("g").alias("h"), F.col("gn").alias("hn"), F.col("block").alias("k")).distinct()
-    rank = lambda g, n: F.struct(F.col(n), F.col(g))  # noqa: E731  the smaller group asks the larger
-    asked = keep(cells.join(held, "sign").where((F.col("g") != F.col("h")) & (rank("gn", "g") < rank("hn", "h"))).select("d", "h", "k").distinct(), "asked")
-    members = keep(cells.select("d", F.col("g").alias("h"), F.col("block").alias("k")).distinct(), "members")
+    cells = keep(cells.join(apart, "sign", "left_semi"), "cells")
+    homes = cells.groupBy("d", "g", "alone").agg(F.min("sign").alias("home")).withColumn("home", F.when(F.col("alone"), F.col("home")).otherwise(F.col("g")))
+    sizes = homes.groupBy("alone", "home").agg(F.count(F.lit(1)).alias("size"))
+    block = F.pmod(F.xxhash64("d"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")
+    homes = keep(homes.join(sizes, ["alone", "home"]).select("d", "g", F.struct("alone", "home", block).alias("at")), "homes")
+    placed = cells.select("sign", "d").join(homes, "d")
+    held = placed.select("sign", F.col("at").alias("to"), F.when(~F.col("at.alone"), F.col("g")).alias("h")).distinct()
+    # of two blocks one asks the other; sets of a block without links also ask their own
+    asked = placed.join(held, "sign").where((F.col("at") <= F.col("to")) & ~F.coalesce(F.col("g") == F.col("h"), F.lit(False))).select("d", "g", "to").distinct()
     tokens = sets.select(F.col("doc_id").alias("d"), "tokens")
-    unions = members.join(tokens, "d").groupBy("h", "k").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.min(F.size("tokens")).alias("least"))
-    bound = F.size(F.array_intersect("tokens", "union"))
-    opened = asked.join(unions, ["h", "k"]).join(tokens, "d").where(_reaches(bound, F.size("tokens"), F.col("least"), percent)).select("d", "h", "k")
-    pairs = opened.join(members.withColumnRenamed("d", "e"), ["h", "k"]).select(F.col("d").alias("a"), F.col("e").alias("b"))
-    return _linked(pairs, sets, percent)
+    members = homes.join(tokens, "d").groupBy(F.col("at").alias("to")).agg(F.collect_list(F.struct("d", "g", "tokens")).alias("members"))
+    blocks = members.select("to", "members", F.array_distinct(F.flatten("members.tokens")).alias("union"), F.array_min(F.transform("members", lambda m: F.size(m["tokens"]))).alias("least"))
+    size, bound = F.size("tokens"), F.size(F.array_intersect("tokens", "union"))
+    # the queries' sets go to the blocks: small rows are joined first
+    opened = asked.join(tokens, "d").join(blocks, "to").where(_reaches(bound, size, F.col("least"), percent))
+    same = lambda m: (m["g"] != F.col("g")) & _reaches(F.size(F.array_intersect("tokens", m["tokens"])), size, F.size(m["tokens"]), percent)
+    hits = F.transform(F.filter("members", same), lambda m: m["d"])
+    return opened.select(F.col("d").alias("a"), F.explode(F.when(F.col("to.alone"), hits).otherwise(F.slice(hits, 1, 1))).alias("b"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
