@@ -25,8 +25,7 @@ def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    judged = quality.judge(docs.select("*", F.struct("*").alias("_row")))
-    return judged.where("kept").select("_row.*")
+    return quality.kept(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,17 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     return df.select(*[F.col(f"`{x}`") for x in passed], *results, *judged)
 
 
+def kept(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of docs that pass, as they are.
+
+    The verdict passes through explode, because a plain filter would be pushed below the projections that build it,
+    and what they share would be computed anew at every use.
+    """
+    judged = judge(docs.select("text", F.struct("*").alias(f"{_F}_row")), rules)
+    passed = judged.select(f"{_F}_row", F.explode(F.array("kept")).alias(f"{_F}_kept")).where(f"{_F}_kept")
+    return passed.select(f"{_F}_row.*")
+
+
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
