@@ -16,7 +16,7 @@ by chance, which changes no sum. An empty table gives no rows. Other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, documents, keep
@@ -25,6 +25,7 @@ NEWTON_STEPS = 64
 ROWS_A_BUCKET = 20_000
 #: Rounds of filling a source's rest: each takes those documents that still fit.
 ROUNDS = 3
+NEAR = 0.005
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -61,38 +62,60 @@ def tilted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rate", F.when((size > 0) & (target > 0), solved).otherwise(0.0))
 
 
-def _fill(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, source_no, place, bucket, size, rest, more): more set where the document still fits its source's rest, rest lowered."""
+_STATE = ("doc_id", "source_no", "place", "bucket", "size", "target", "whole", "rest", "more")
+
+
+def _spend(rows: DataFrame) -> DataFrame:
+    """Rows with now (bool): one more copy where it is set, and the source's rest lowered by their sizes."""
+    rows = keep(rows.select(*_STATE, "now"), "mix-round")
+    spent = rows.where("now").groupBy("source_no").agg(F.sum("size").alias("spent"))
+    rest, more = F.col("rest") - F.coalesce("spent", F.lit(0)), F.col("more") + F.col("now").cast("int")
+    return rows.join(spent, "source_no", "left").select(*_STATE[:-2], rest.alias("rest"), more.alias("more"))
+
+
+def _fill(rows: DataFrame, most: Column) -> DataFrame:
+    """One more copy of the documents, in order of place, that together still fit their source's rest and have under most copies more."""
     bucket = ["source_no", "bucket"]
     within = Window.partitionBy(*bucket).orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    fits = ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
+    fits = (F.col("more") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
     rows = rows.withColumn("running", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(within))
     over = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy(*bucket).agg(F.max("running").alias("filled")).select(*bucket, F.coalesce(F.sum("filled").over(over), F.lit(0)).alias("before"))
-    rows = rows.join(ends, bucket).withColumn("now", fits & (F.col("before") + F.col("running") <= F.col("rest")))
-    rows = keep(rows.select("doc_id", "source_no", "place", "bucket", "size", "rest", "more", "now"), "mix-round")
-    spent = rows.where("now").groupBy(F.col("source_no")).agg(F.sum("size").alias("spent"))
-    return rows.join(spent, "source_no", "left").select(
-        "doc_id", "source_no", "place", "bucket", "size", (F.col("rest") - F.coalesce("spent", F.lit(0))).alias("rest"), (F.col("more") | F.col("now")).alias("more")
-    )
+    return _spend(rows.join(ends, bucket).withColumn("now", fits & (F.col("before") + F.col("running") <= F.col("rest"))))
+
+
+def _nearest(rows: DataFrame, most: Column) -> DataFrame:
+    """One more copy of a source's smallest document left if that takes the source nearer to its target."""
+    item = F.struct("size", "place", "doc_id")
+    least = rows.where((F.col("more") < most) & (F.col("size") > 0)).groupBy("source_no").agg(F.min(item).alias("least"))
+    now = F.coalesce((item == F.col("least")) & (2 * F.col("rest") > F.col("size")) & (F.col("more") < most), F.lit(False))
+    return _spend(rows.join(least, "source_no", "left").withColumn("now", now))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) of each row; taken = copies * size."""
+    """(doc_id, source, size, source_size, target, taken, copies) of each row; taken = copies * size.
+
+    Where whole documents leave a source over NEAR of its target short, its small ones are taken further times, up
+    to most copies.
+    """
     sizes = keep(sized(docs), "mix-sizes")
     plan = keep(tilted(targets(sizes, weights, share, most)), "mix-plan")
     whole = F.floor(F.col("rate") + 1e-9)
     # a document's place is drawn by its id alone; its leading 32 bits cut the source into buckets of consecutive places
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     lead = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")
-    rows = (
-        sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).select("doc_id", "source_no", "n_docs", "size", place.alias("place"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
-        .select("doc_id", "source_no", "place", F.floor(lead * F.ceil(F.col("n_docs") / ROWS_A_BUCKET) / 2**32).cast("int").alias("bucket"), "size", "rest", F.lit(False).alias("more"))
-    )
-    for _ in range(ROUNDS):
-        rows = _fill(rows)
-    copies = (whole + F.col("more").cast("long")).cast("long")
-    return rows.join(plan.drop("n_docs"), "source_no").select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    bucket = F.floor(lead * F.ceil(F.col("n_docs") / ROWS_A_BUCKET) / 2**32).cast("int")
+    rows = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).select("doc_id", "source_no", "n_docs", "size", place.alias("place"), "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
+    rows = rows.select("doc_id", "source_no", "place", bucket.alias("bucket"), "size", "target", "whole", "rest", F.lit(0).alias("more"))
+    one, up = F.least(F.lit(1), F.lit(int(most)) - F.col("whole")), F.lit(int(most)) - F.col("whole")
+    for turn in range(2 * ROUNDS):
+        if turn >= ROUNDS and (rows.agg(F.max(F.col("rest") / F.greatest("target", F.lit(1.0)))).first()[0] or 0) <= NEAR:
+            break
+        rows = _fill(rows, one if turn < ROUNDS else up)
+    rows = _nearest(rows, up)
+    copies = (F.col("whole") + F.col("more")).cast("long")
+    named = plan.select("source_no", "source", "source_size")
+    return rows.join(named, "source_no").select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
