@@ -6,9 +6,9 @@
    is not empty unless over E are (sets with so many empty parts also sign these). Sets of sizes that can reach the
    threshold use the same parts, so no link is lost and no token's frequency matters: a passage that many
    documents share makes no candidates unless all else in its part is shared too.
-3. Groups: sets that share signatures are compared with the least set of those, and verified links make groups.
-   Sets without a link are grouped by their least shared signature. Groups are held in blocks of about BLOCK sets;
-   a block stores its members, their token union and the least size.
+3. Groups: sets that share signatures are compared with one leader of those, the set whose signatures are shared
+   most, and verified links make groups. Sets without a link are grouped by their most shared signature. Groups are
+   held in blocks of about BLOCK sets; a block stores its members, their token union and the least size.
 4. A set whose signature is also in another group's block is a query of that block. Its overlap with the union
    bounds its overlap with any member; only blocks whose bound reaches the threshold are opened, and their members
    compared one by one. Sets already in one group need no comparison: components need one link, not all.
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import documents, drop, keep
 from .components import components
 
-BLOCK, CACHE_SIZE = 64, 200_000
+#: Sets a block; a signature in DENSE blocks and one of DENSE blocks of a home counts as in all.
+BLOCK, DENSE, CACHE_SIZE = 64, 4, 200_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -146,9 +147,12 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     signed = rows.where("doc_id IS NOT NULL AND n > 0").join(copies, "doc_id", "left_anti").select(F.explode("signatures").alias("sign"), F.col("doc_id").alias("d"))
 
     shared = keep(signed.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high"), "shared")
-    many = keep(signed.join(shared.where("n > 2").select("sign", "low"), "sign"), "many")
+    many = keep(signed.join(shared.where("n > 2").select("sign", F.col("n").alias("sharers")), "sign"), "many")
+    # the leader of a signature is the set whose signatures are shared most: a text that others are copies of before any copy
+    ranked = many.join(many.groupBy("d").agg(F.sum("sharers").alias("rank")), "d")
+    leaders = ranked.groupBy("sign").agg(F.max_by("d", F.struct("rank", "d")).alias("lead"))
     # a set is compared with the leaders it meets twice; what that leaves apart is compared between groups
-    led = many.where("d <> low").groupBy("low", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", "d")
+    led = many.join(leaders, "sign").where("d <> lead").groupBy("lead", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.least("lead", "d"), F.greatest("lead", "d"))
     pairs = keep(shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(led).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(many.select("d")).distinct()
     sets = keep(_sets(docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi"), words, percent, True), "tokens")
@@ -164,32 +168,42 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def _between(many: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between groups, from signatures (sign, d) of three and more sets: query, bound, open.
+    """Links (a, b) between groups, from signatures (sign, d, sharers) of three and more sets: query, bound, open.
 
-    A block holds sets of one verified group, or sets without a link that share their least signature. A query
+    A home holds the sets of one verified group, or sets without a link whose most shared signature is the same; it is
+    cut into blocks. Of two homes that share a signature, the sets of the smaller ask the larger: the blocks that hold
+    the signature, or all blocks where a good part of them do, which is then said once and not once a signature. A query
     opens a block at most once, and compares itself with the block's members where the block is.
     """
     of = groups.select(F.col("id").alias("d"), F.col("component").alias("g"))
-    cells = many.select("sign", "d").join(of, "d", "left").withColumn("alone", F.col("g").isNull()).withColumn("g", F.coalesce("g", "d"))
+    cells = many.select("sign", "d", "sharers").join(of, "d", "left").withColumn("alone", F.col("g").isNull()).withColumn("g", F.coalesce("g", "d"))
     apart = cells.groupBy("sign").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("sign")
     cells = keep(cells.join(apart, "sign", "left_semi"), "cells")
-    homes = cells.groupBy("d", "g", "alone").agg(F.min("sign").alias("home")).withColumn("home", F.when(F.col("alone"), F.col("home")).otherwise(F.col("g")))
-    sizes = homes.groupBy("alone", "home").agg(F.count(F.lit(1)).alias("size"))
-    block = F.pmod(F.xxhash64("d"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")
-    homes = keep(homes.join(sizes, ["alone", "home"]).select("d", "g", F.struct("alone", "home", block).alias("at")), "homes")
+    homes = cells.groupBy("d", "g", "alone").agg(F.max(F.struct("sharers", "sign"))["sign"].alias("most"))
+    homes = homes.select("d", "g", F.struct("alone", F.when(F.col("alone"), F.col("most")).otherwise(F.col("g")).alias("name")).alias("home"))
+    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    homes = keep(homes.join(sizes, "home").select("d", "g", "home", "size", "blocks", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int").alias("block")), "homes")
     placed = cells.select("sign", "d").join(homes, "d")
-    held = placed.select("sign", F.col("at").alias("to"), F.when(~F.col("at.alone"), F.col("g")).alias("h")).distinct()
-    # of two blocks one asks the other; sets of a block without links also ask their own
-    asked = placed.join(held, "sign").where((F.col("at") <= F.col("to")) & ~F.coalesce(F.col("g") == F.col("h"), F.lit(False))).select("d", "g", "to").distinct()
+    held = placed.groupBy("sign", "home", "size", "blocks", "block").agg(F.min("g").alias("g"))
+    dense = held.groupBy("sign", "home").agg(F.count(F.lit(1)).alias("n"), F.first("blocks").alias("blocks")).where(f"n >= {DENSE} AND n * {DENSE} >= blocks").select("sign", "home")
+    held = held.join(dense.withColumn("all", F.lit(True)), ["sign", "home"], "left")
+    held = held.select("sign", F.col("home").alias("to"), F.col("size").alias("to_size"), F.col("blocks").alias("to_blocks"), F.when(F.col("all"), -1).otherwise(F.col("block")).alias("to_block")).distinct()
+    # sets of a home without links also ask that home
+    smaller = F.struct("size", "home") < F.struct(F.col("to_size").alias("size"), F.col("to").alias("home"))
+    within = (F.col("home") == F.col("to")) & F.col("to.alone")
+    asked = placed.join(held, "sign").where(smaller | within).select("d", "g", "home", "block", "to", "to_block", "to_blocks").distinct()
+    every = F.when(F.col("to_block") < 0, F.sequence(F.lit(0), F.col("to_blocks") - 1)).otherwise(F.array("to_block"))
+    asked = asked.select("d", "g", "home", "block", "to", F.explode(every).alias("to_block")).where((F.col("home") != F.col("to")) | (F.col("block") <= F.col("to_block")))
+    asked = asked.select("d", "g", F.struct("to", "to_block").alias("to")).distinct()
     tokens = sets.select(F.col("doc_id").alias("d"), "tokens")
-    members = homes.join(tokens, "d").groupBy(F.col("at").alias("to")).agg(F.collect_list(F.struct("d", "g", "tokens")).alias("members"))
+    members = homes.join(tokens, "d").groupBy(F.struct(F.col("home").alias("to"), F.col("block").alias("to_block")).alias("to")).agg(F.collect_list(F.struct("d", "g", "tokens")).alias("members"))
     blocks = members.select("to", "members", F.array_distinct(F.flatten("members.tokens")).alias("union"), F.array_min(F.transform("members", lambda m: F.size(m["tokens"]))).alias("least"))
     size, bound = F.size("tokens"), F.size(F.array_intersect("tokens", "union"))
     # the queries' sets go to the blocks: small rows are joined first
     opened = asked.join(tokens, "d").join(blocks, "to").where(_reaches(bound, size, F.col("least"), percent))
     same = lambda m: (m["g"] != F.col("g")) & _reaches(F.size(F.array_intersect("tokens", m["tokens"])), size, F.size(m["tokens"]), percent)
     hits = F.transform(F.filter("members", same), lambda m: m["d"])
-    return opened.select(F.col("d").alias("a"), F.explode(F.when(F.col("to.alone"), hits).otherwise(F.slice(hits, 1, 1))).alias("b"))
+    return opened.select(F.col("d").alias("a"), F.explode(F.when(F.col("to.to.alone"), hits).otherwise(F.slice(hits, 1, 1))).alias("b"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
