@@ -2,7 +2,7 @@
 
 Every document gets two histograms: its characters by class, and its common words. Each is compared, by
 Jensen-Shannon distance (base 2), with the reference of the document's language. References are sums over all
-documents, one row a language. Texts under the minimum lengths are not judged by a histogram, because short
+documents, one row a language, made from the histograms. Texts under the minimum lengths are not judged by a histogram, because short
 samples are far from any reference by chance.
 
 Everything is a DataFrame expression over one row; the only shuffle carries the reference sums, one row a
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lower_ascii
+from .common import documents, keep
 
 #: The commonest function words of each language, most frequent first.
 COMMON_WORDS = {
@@ -31,7 +31,7 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
 }
 
-#: Character classes: name and the characters it counts. What no class counts falls to a last one.
+#: Character classes, none of which overlap: name and the characters it counts. What no class counts falls to a last one.
 CLASSES = {
     "lower": r"\\p{Ll}",
     "upper": r"\\p{Lu}",
@@ -63,20 +63,25 @@ def _features(rules: QualityRules) -> list[tuple[str, str]]:
     """Columns of the histograms, in the order they build on each other."""
     sets = {lang: ", ".join(f"'{w}'" for w in words) for lang, words in rules.common_words.items()}
     every = ", ".join(f"'{w}'" for w in sorted({w for words in rules.common_words.values() for w in words}))
-    counts = ", ".join(f"length(t) - length(regexp_replace(t, '[{chars}]+', ''))" for chars in CLASSES.values())
+    # each class is taken out of what the classes before it left, so only the first goes over the whole text
+    left = ["t", *(f"left_{name}" for name in CLASSES)]
+    taken = [(own, f"regexp_replace({before}, '[{chars}]+', '')") for before, own, chars in zip(left, left[1:], CLASSES.values(), strict=False)]
+    counts = ", ".join(f"length({before}) - length({own})" for before, own in zip(left, left[1:], strict=False))
+    longest = max(len(w) for words in rules.common_words.values() for w in words)
     hits = ", ".join(f"size(filter(common, w -> w IN ({words})))" for words in sets.values())
     langs = ", ".join(f"'{lang}'" for lang in sets)
     lists = ", ".join(f"array({words})" for words in sets.values())
     return [
-        ("words", r"filter(split(t, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"),
-        ("common", f"filter(transform(words, w -> translate(w, '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')), w -> w IN ({every}))"),
+        ("words", r"array_remove(split(t, '[\\x20\\x09-\\x0D]+'), '')"),
+        ("common", f"filter(transform(filter(words, w -> length(w) <= {longest}), w -> translate(w, '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')), w -> w IN ({every}))"),
+        *taken,
         ("seen", f"array({counts})"),
         ("hits", f"array({hits})"),
         ("at", "CASE WHEN array_max(hits) > 0 THEN array_position(hits, array_max(hits)) ELSE 0L END"),
         ("language", f"CASE WHEN at > 0 THEN element_at(array({langs}), CAST(at AS INT)) ELSE '' END"),
         ("list", f"CASE WHEN at > 0 THEN element_at(array({lists}), CAST(at AS INT)) ELSE array('') END"),
         ("class_counts", "concat(seen, array(length(t) - aggregate(seen, 0, (a, x) -> a + x)))"),
-        ("word_counts", "transform(list, w -> size(filter(common, x -> x = w)))"),
+        ("word_counts", "transform(list, w -> size(common) - size(array_remove(common, w)))"),
         ("word_counts", "concat(word_counts, array(size(words) - aggregate(word_counts, 0, (a, x) -> a + x)))"),
     ]
 
@@ -87,8 +92,8 @@ _BASE = [
     ("ordered", "CASE WHEN size(array_distinct(windows)) = size(windows) THEN array() ELSE sort_array(transform(windows, (h, i) -> struct(h AS h, i AS i))) END"),
     ("repeats", "sort_array(transform(filter(ordered, (s, k) -> coalesce(get(ordered, k - 1).h = s.h, false) OR coalesce(get(ordered, k + 1).h = s.h, false)), s -> s.i))"),
     ("n_words", "CAST(size(words) AS BIGINT)"),
-    ("word_chars", r"CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '')) AS BIGINT)"),
-    ("n_symbols", "CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT)"),
+    ("word_chars", "CAST(length(t) - (length(left_digit) - length(left_space)) AS BIGINT)"),
+    ("n_symbols", "CAST(length(left_bang) - length(left_symbol) AS BIGINT)"),
     ("lines", r"filter(split(t, '\n'), l -> l RLIKE '[^\\x20\\x09-\\x0D]')"),
     ("n_dup_lines", "CAST(size(lines) - size(array_distinct(lines)) AS BIGINT)"),
     ("n_repeat_words", "aggregate(transform(repeats, (p, k) -> least(3, coalesce(get(repeats, k + 1) - p, 3))), 0L, (a, x) -> a + x)"),
@@ -123,32 +128,40 @@ def distance(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.coalesce(sum_, F.lit(0.0)), F.lit(0.0)))
 
 
-def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """One row a language: language, class_reference, word_reference (summed counts over all documents)."""
-    df = _with(docs.select(F.coalesce("text", F.lit("")).alias(f"{_F}_t")), _features(rules), set())
+_RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "language"]
+_JUDGED = ["class_distance", "word_distance", "base_failed", "kept"]
+_COUNTS = [f"{_F}_{x}" for x in ("class_counts", "word_counts", "chars")]
+
+
+def measured(docs: DataFrame, rules: QualityRules = QualityRules(), carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs (null: all) with the counts of the base rule, the language and the histograms."""
+    passed = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {*_RESULTS, *_JUDGED}]
+    df = docs.select(*[F.col(f"`{c}`") for c in passed], F.coalesce(docs["text"], F.lit("")).alias(f"{_F}_t"))
+    names: set[str] = set()
+    df = _with(_with(df, _features(rules), names), _BASE, names)
+    c = lambda name: F.col(f"{_F}_{name}")
+    return df.select(*[F.col(f"`{x}`") for x in passed], *[c(x).alias(x) for x in _RESULTS], c("class_counts"), c("word_counts"), F.length(c("t")).alias(f"{_F}_chars"))
+
+
+def references(rows: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """One row a language: language, class_reference, word_reference (summed counts over all measured rows)."""
     n_class, n_word = len(CLASSES) + 1, max(map(len, rules.common_words.values())) + 1
     item = lambda name, i: F.sum(F.coalesce(F.get(f"{_F}_{name}", F.lit(i)), F.lit(0)).cast("long"))
     return (
-        df.groupBy(F.col(f"{_F}_language").alias("language"))
+        rows.groupBy("language")
         .agg(*[item("class_counts", i).alias(f"c{i}") for i in range(n_class)], *[item("word_counts", i).alias(f"w{i}") for i in range(n_word)])
         .select("language", F.array(*[f"c{i}" for i in range(n_class)]).alias("class_reference"), F.array(*[f"w{i}" for i in range(n_word)]).alias("word_reference"))
     )
 
 
-def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, language, class_distance, word_distance (null: not judged), base_failed, kept."""
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "language"]
-    judged = ["class_distance", "word_distance", "base_failed", "kept"]
-    passed = [c for c in docs.columns if c.lower() not in {*results, *judged}]
-    df = docs.select(*[F.col(f"`{c}`") for c in passed], F.coalesce(docs["text"], F.lit("")).alias(f"{_F}_t"))
-    names: set[str] = set()
-    df = _with(_with(df, _features(rules), names), _BASE, names)
+def judge(rows: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """Measured rows with class_distance, word_distance (null: not judged), base_failed, kept, and without the histograms."""
+    passed = [x for x in rows.columns if x not in {*_RESULTS, *_COUNTS}]
     c = lambda name: F.col(f"{_F}_{name}")
-    df = df.select(*[F.col(f"`{x}`") for x in passed], *[c(x).alias(x) for x in results], c("class_counts"), c("word_counts"), F.length(c("t")).alias(f"{_F}_chars"))
-    refs = references(docs, rules).select(F.col("language").alias(f"{_F}_ref"), "class_reference", "word_reference")
+    refs = references(rows, rules).select(F.col("language").alias(f"{_F}_ref"), "class_reference", "word_reference")
     refs = refs.withColumnsRenamed({x: f"{_F}_{x}" for x in ("class_reference", "word_reference")})
     # one row a listed language, so the size of what is broadcast is fixed by the rules
-    df = df.join(F.broadcast(refs), F.col("language") == c("ref"), "left")
+    df = rows.join(F.broadcast(refs), F.col("language") == c("ref"), "left")
     long_words = (F.col("n_words") >= rules.min_words_judged) & (F.col("language") != "")
     width = F.size(c("word_counts"))
     df = df.withColumn("class_distance", F.when(c("chars") >= rules.min_chars_judged, distance(c("class_counts"), c("class_reference"))))
@@ -156,7 +169,7 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
     far = F.coalesce(F.col("class_distance") > rules.max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
     df = df.withColumn("kept", ~F.col("base_failed") & ~far)
-    return df.select(*[F.col(f"`{x}`") for x in passed], *results, *judged)
+    return df.select(*[F.col(f"`{x}`") for x in passed], *_RESULTS, *_JUDGED)
 
 
 def kept(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -165,11 +178,12 @@ def kept(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     The verdict passes through explode, because a plain filter would be pushed below the projections that build it,
     and what they share would be computed anew at every use.
     """
-    judged = judge(docs.select("text", F.struct("*").alias(f"{_F}_row")), rules)
+    judged = judge(measured(docs.select("text", F.struct("*").alias(f"{_F}_row")), rules, [f"{_F}_row"]), rules)
     passed = judged.select(f"{_F}_row", F.explode(F.array("kept")).alias(f"{_F}_kept")).where(f"{_F}_kept")
     return passed.select(f"{_F}_row.*")
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    # the counts are written, so that texts are read once
+    rows = keep(measured(documents(spark, sf_dir).select("doc_id", "text"), carry=["doc_id"]), "quality")
+    return judge(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
