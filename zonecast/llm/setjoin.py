@@ -2,10 +2,11 @@
 
 1. Texts become sets of 64-bit shingle hashes; equal sets are one node, the least doc_id its name.
 2. The matrix's sparse rows: the hash space is cut into parts, and each part of a set has one signature. Two sets
-   over the threshold differ in at most H tokens, so of H + 1 + E parts at least E + 1 are equal, and of those one
-   is not empty unless over E are (sets with so many empty parts also sign these). Sets of sizes that can reach the
-   threshold use the same parts, so no link is lost and no token's frequency matters: a passage that many
-   documents share makes no candidates unless all else in its part is shared too.
+   over the threshold differ in at most H tokens, so of 2 (H + 1) parts at least half are equal (sets with more empty
+   parts than that also sign these). So it is enough to look at a set's rarer signatures, about the first half: of
+   those that a linked pair shares, the rarest is among them on both sides. Sets of sizes that can reach the
+   threshold use the same parts, so no link is lost; a passage that many documents share has frequent signatures,
+   which are not looked at unless little else is there.
 3. Groups: sets that share signatures are compared with one leader of those, the set whose signatures are shared
    most, and verified links make groups. Sets without a link are grouped by their most shared signature. Groups are
    held in blocks of about BLOCK sets; a block stores its members, their token union and the least size.
@@ -29,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, drop, keep
@@ -77,12 +78,17 @@ def schemes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low.append(max(low[-1] + 1, -(-low[-1] * 100 // percent)))
     a = np.array(low[1:], np.int64) - 1
     differ = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
-    return np.array(low, np.int64), differ, 2 + differ // 128
+    return np.array(low, np.int64), differ, 1 + differ
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
+def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """The signatures of a set, the lowest bit telling the size class, and by that bit how many of them are looked at.
+
+    A set that links with it has at least need of a class's signatures too. So in any one order of all signatures, the
+    first of those both have is among the first count - need + 1 of either.
+    """
     low, differ, spare = schemes(percent)
-    own, out = int(np.searchsorted(low, len(tokens), "right")) - 1, []
+    own, out, first = int(np.searchsorted(low, len(tokens), "right")) - 1, [], [0, 0]
     mixed = _mix(tokens ^ _A)
     for c in (own - 1, own):
         if c < 0 or differ[c] == 0:
@@ -90,12 +96,17 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         parts = int(differ[c]) + 1 + int(spare[c])
         part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sums = np.add.reduceat(mixed, starts)
-        out.append(_mix(sums + part[starts] * _B + np.array([c], np.uint64) * _C))
-        if parts - len(starts) > spare[c]:
+        signs = [_mix(np.add.reduceat(mixed, starts) + part[starts] * _B + np.array([c], np.uint64) * _C)]
+        unsigned = parts - len(starts)
+        if unsigned > spare[c]:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-            out.append(_mix(empty * _B + np.array([c], np.uint64) * _C + np.uint64(1)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            signs.append(_mix(empty * _B + np.array([c], np.uint64) * _C + np.uint64(1)))
+            unsigned = 0
+        signs = np.unique(np.concatenate(signs) & ~np.uint64(1) | np.uint64(c & 1))
+        need = int(spare[c]) + 1 - unsigned - (parts - unsigned - len(signs))  # less those whose hashes fell together
+        first[c & 1] = len(signs) - max(need, 1) + 1
+        out.append(signs)
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), first
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -105,7 +116,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
-    """whole: (doc_id, tokens); else (doc_id, n, s1, s2, signatures), s1 and s2 naming the set."""
+    """whole: (doc_id, tokens); else (doc_id, n, s1, s2, first, signatures), s1 and s2 naming the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -118,11 +129,11 @@ def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
                     continue
                 names = [(_mix(x + _A).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(x * _A + _C), initial=np.uint64(0))) for x in found]
                 s1, s2 = (pa.array(np.array([x[i] for x in names], np.uint64).view(np.int64)) for i in (0, 1))
-                signed = _lists([signatures(x, percent) if len(x) else x for x in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int64()), s1, s2, signed], ["doc_id", "n", "s1", "s2", "signatures"])
+                signed, first = zip(*[signatures(x, percent) if len(x) else (x, [0, 0]) for x in found], strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int64()), s1, s2, pa.array(first, pa.list_(pa.int32())), _lists(list(signed))], ["doc_id", "n", "s1", "s2", "first", "signatures"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ("tokens array<long>" if whole else "n long, s1 long, s2 long, signatures array<long>"))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ("tokens array<long>" if whole else "n long, s1 long, s2 long, first array<int>, signatures array<long>"))
 
 
 def _reaches(overlap: Column, n: Column, m: Column, percent: int) -> Column:
@@ -144,7 +155,18 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     same = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     nodes = keep(named.join(same, ["s1", "s2"]).select("doc_id", "node").distinct(), "nodes")
     copies = nodes.groupBy("doc_id").agg(F.min("node").alias("least")).where("least <> doc_id").select("doc_id")
-    signed = rows.where("doc_id IS NOT NULL AND n > 0").join(copies, "doc_id", "left_anti").select(F.explode("signatures").alias("sign"), F.col("doc_id").alias("d"))
+    leads = rows.where("doc_id IS NOT NULL AND n > 0").join(copies, "doc_id", "left_anti")
+    signed = leads.select(F.explode("signatures").alias("sign"), F.col("doc_id").alias("d"))
+    often = signed.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high").select("sign", "n")
+    met = keep(signed.join(often, "sign"), "met")
+    # rarest first; signatures that no other set has come before these, and count as looked at
+    odd = F.col("sign").bitwiseAND(1)
+    looked = leads.select(F.col("doc_id").alias("d"), F.posexplode("first").alias("odd", "first"), "signatures")
+    looked = looked.select("d", "odd", (F.col("first") - F.size(F.filter("signatures", lambda x: x.bitwiseAND(1) == F.col("odd")))).alias("room"))
+    place = Window.partitionBy("d", "odd").orderBy("n", "sign")
+    ranked = met.withColumn("odd", odd.cast("int")).withColumn("place", F.row_number().over(place)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("d", "odd")))
+    signed = keep(ranked.join(looked, ["d", "odd"]).where("place - of <= room").select("sign", "d"), "looked")
+    drop(met)
 
     shared = keep(signed.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high"), "shared")
     many = keep(signed.join(shared.where("n > 2").select("sign", F.col("n").alias("sharers")), "sign"), "many")
