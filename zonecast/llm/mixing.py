@@ -6,8 +6,9 @@ convex, and Newton's steps on it run on the source sums, which one distributed a
 rounded into copies: every document is taken floor(rate) times, and the fraction is met by taking whole
 documents once more, in an order drawn by hash, until the source's rest is used up as nearly as may be.
 
-Nothing passes through one task but tables of one row a source or of one row a bucket: a source that holds a third
-of all rows is cut into buckets by hash, the running sums within buckets and over buckets are found apart.
+Nothing passes through one task but tables of one row a source or of one row a bucket: a source of n rows, a third of
+all maybe, is cut by hash into about sqrt(n) buckets of sqrt(n) rows, and the running sums within buckets and over
+buckets are found apart. What is known of a source comes to its rows by bucket, so no join brings the source together.
 
 A null text, or one without words, has size 0 and takes 0. A null source is a source, the last. Sources without
 words have target 0. Rows that repeat a doc_id count as rows; those of one id, source and size get the same place
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, keep
 
 NEWTON_STEPS = 64
-ROWS_A_BUCKET = 20_000
 #: Rounds of filling a source's rest: each takes those documents that still fit.
 ROUNDS = 3
 NEAR = 0.005
@@ -63,33 +63,35 @@ def tilted(rows: DataFrame) -> DataFrame:
 
 
 _STATE = ("doc_id", "source_no", "place", "bucket", "size", "target", "whole", "rest", "more")
+_BUCKET = ("source_no", "bucket")
 
 
 def _spend(rows: DataFrame) -> DataFrame:
     """Rows with now (bool): one more copy where it is set, and the source's rest lowered by their sizes."""
     rows = keep(rows.select(*_STATE, "now"), "mix-round")
-    spent = rows.where("now").groupBy("source_no").agg(F.sum("size").alias("spent"))
-    rest, more = F.col("rest") - F.coalesce("spent", F.lit(0)), F.col("more") + F.col("now").cast("int")
-    return rows.join(spent, "source_no", "left").select(*_STATE[:-2], rest.alias("rest"), more.alias("more"))
+    spent = rows.groupBy(*_BUCKET).agg(F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).alias("spent"))
+    spent = spent.select(*_BUCKET, F.sum("spent").over(Window.partitionBy("source_no")).alias("spent"))
+    rest, more = F.col("rest") - F.col("spent"), F.col("more") + F.col("now").cast("int")
+    return rows.join(spent, list(_BUCKET)).select(*_STATE[:-2], rest.alias("rest"), more.alias("more"))
 
 
 def _fill(rows: DataFrame, most: Column) -> DataFrame:
     """One more copy of the documents, in order of place, that together still fit their source's rest and have under most copies more."""
-    bucket = ["source_no", "bucket"]
-    within = Window.partitionBy(*bucket).orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*_BUCKET).orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     fits = (F.col("more") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
     rows = rows.withColumn("running", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(within))
     over = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*bucket).agg(F.max("running").alias("filled")).select(*bucket, F.coalesce(F.sum("filled").over(over), F.lit(0)).alias("before"))
-    return _spend(rows.join(ends, bucket).withColumn("now", fits & (F.col("before") + F.col("running") <= F.col("rest"))))
+    ends = rows.groupBy(*_BUCKET).agg(F.max("running").alias("filled")).select(*_BUCKET, F.coalesce(F.sum("filled").over(over), F.lit(0)).alias("before"))
+    return _spend(rows.join(ends, list(_BUCKET)).withColumn("now", fits & (F.col("before") + F.col("running") <= F.col("rest"))))
 
 
 def _nearest(rows: DataFrame, most: Column) -> DataFrame:
     """One more copy of a source's smallest document left if that takes the source nearer to its target."""
     item = F.struct("size", "place", "doc_id")
-    least = rows.where((F.col("more") < most) & (F.col("size") > 0)).groupBy("source_no").agg(F.min(item).alias("least"))
+    least = rows.groupBy(*_BUCKET).agg(F.min(F.when((F.col("more") < most) & (F.col("size") > 0), item)).alias("least"))
+    least = least.select(*_BUCKET, F.min("least").over(Window.partitionBy("source_no")).alias("least"))
     now = F.coalesce((item == F.col("least")) & (2 * F.col("rest") > F.col("size")) & (F.col("more") < most), F.lit(False))
-    return _spend(rows.join(least, "source_no", "left").withColumn("now", now))
+    return _spend(rows.join(least, list(_BUCKET)).withColumn("now", now))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
     # a document's place is drawn by its id alone; its leading 32 bits cut the source into buckets of consecutive places
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     lead = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")
-    bucket = F.floor(lead * F.ceil(F.col("n_docs") / ROWS_A_BUCKET) / 2**32).cast("int")
+    bucket = F.floor(lead * F.ceil(F.sqrt("n_docs")) / 2**32).cast("int")
     rows = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).select("doc_id", "source_no", "n_docs", "size", place.alias("place"), "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
     rows = rows.select("doc_id", "source_no", "place", bucket.alias("bucket"), "size", "target", "whole", "rest", F.lit(0).alias("more"))
     one, up = F.least(F.lit(1), F.lit(int(most)) - F.col("whole")), F.lit(int(most)) - F.col("whole")
