@@ -17,7 +17,10 @@ no rows. Other columns are not read.
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, keep
 
-CAPACITY, ITEMS, MOST_ROUNDS, CACHE_SIZE, LONGEST = 4096, 50_000, 6, 200_000, 40
+#: A cache of 400,000 words of at most 40 characters takes about 60 MB of a worker.
+CAPACITY, ITEMS, MOST_ROUNDS, CACHE_SIZE, LONGEST, TAIL = 4096, 50_000, 6, 400_000, 40, ".,;:!?"
 
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on every core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -43,26 +48,52 @@ def tokenizer(path: str):
 
 
 class WordIds(dict):
-    """Word to its ids as little-endian unsigned 32-bit numbers; filled on a miss, started anew when large."""
+    """Word to its ids as little-endian unsigned 32-bit numbers; started anew when large.
+
+    This tokenizer drops white space and never merges over it, so blanks and line ends part words. It also composes and
+    then lower-cases characters: where no combining mark can occur, A-Z are lowered before the lookup.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode = tokenizer(path).encode
-        self.specials = tuple(x.content for x in tokenizer(path).get_added_tokens_decoder().values())
+        self.found = tokenizer(path)
+        self.specials = tuple(x.content for x in self.found.get_added_tokens_decoder().values())
+        self.marks = re.compile("[\u0300-\U0010ffff]").search
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE_SIZE:
-                self.clear()
-            self[word] = ids
-        return ids
+    def encode(self, text: str) -> bytes:
+        return np.array(self.found.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def of(self, text: str) -> bytes:
-        """Ids of a text. This tokenizer drops white space and never merges over it, so blanks and line ends part words."""
-        if any(x in text for x in self.specials):
-            return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def __missing__(self, word: str) -> bytes:
+        return self.encode(word)
+
+    def learn(self, words: set[str]) -> None:
+        """Encode those of words that are new, all in one call; words over LONGEST are left to the lookup.
+
+        Marks of TAIL behind a letter are a pre-token of their own, so such a word is its two parts, each encoded once.
+        """
+        if len(self) + len(words) > CACHE_SIZE:
+            self.clear()
+        new, tailed = set(), []
+        for word in words:
+            if word in self or len(word) > LONGEST:
+                continue
+            core = word.rstrip(TAIL)
+            if len(core) == len(word) or not core[-1:].isalpha():
+                new.add(word)
+            else:
+                tailed.append((word, core, word[len(core) :]))
+        parts = [x for x in new.union(*((core, tail) for _, core, tail in tailed)) if x not in self]
+        for word, ids in zip(parts, self.found.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self[word] = array("I", ids.ids).tobytes()
+        for word, core, tail in tailed:
+            self[word] = self[core] + self[tail]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        lowered = [x if self.marks(x) else x.encode().lower().decode() for x in texts]
+        words = [None if any(s in x for s in self.specials) else x.replace("\n", " ").split(" ") for x in lowered]
+        self.learn(set().union(*(x for x in words if x is not None)))
+        return [self.encode(text) if own is None else b"".join(map(self.__getitem__, own)) for text, own in zip(texts, words, strict=True)]
 
 
 _held: dict[str, WordIds] = {}
@@ -77,15 +108,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 1) -
             _held[path] = WordIds(path)
         words, stop, step = _held[path], np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
                 rows, out = [], []
-                for i, text in enumerate(part.column(1)):
-                    ids = words.of(text.as_py() or "") + stop
+                for i, own in enumerate(words.of([x or "" for x in part.column(1).to_pylist()])):
+                    ids = own + stop
                     for k, at in enumerate(range(0, len(ids), step)):
-                        own = ids[at : at + step]
+                        piece = ids[at : at + step]
                         rows.append(i)
-                        out.append((k, at // 4, len(own) // 4, zlib.crc32(own)))
+                        out.append((k, at // 4, len(piece) // 4, zlib.crc32(piece)))
                 k, start, length, crc = zip(*out) if out else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
