@@ -268,6 +268,21 @@ def test_reputation_shrinks(spark):
     assert got["a.x.com"].bound > got["b.x.com"].bound and 0.5 < got["b.x.com"].rate < 1 and got["c.y.com"].rate < 0.2
 
 
+def test_hosts_without_outcomes_are_judged_by_domain_and_suffix(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a.x.com", 1)] * 40 + [("b.x.com", 1)] * 40 + [("c.y.org", 0)] * 40 + [("d.z.org", 0)] * 40 + [(h, None) for h in ("new.x.com", "new.w.com", "new.y.org", "new.v.net")]
+    got = {r.host: r for r in hosts.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    known = {r.host: r for r in hosts.reputations(spark.createDataFrame([x for x in rows if x[1] is not None], "host string, bad int")).collect()}
+    assert len(got) == 8 and all(got[h] == known[h] for h in known)
+    assert got["b.x.com"].rate > got["new.x.com"].rate > got["new.w.com"].rate > got["new.v.net"].rate == 0.5 > got["new.y.org"].rate
+    urls = [(0, "http://new.x.com/"), (1, "http://new.y.org/"), (2, "http://new.v.net/")]
+    labels = spark.createDataFrame([(f"http://{h}/", b) for h, b in rows if b is not None], "url string, bad int")
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    assert {r.page_id: r.verdict for r in hosts.judge(pages, (), labels).collect()} == {0: "block", 1: "allow", 2: "allow"}
+    assert hosts.judge(pages, (), labels.where(F.lit(False)), limit=0.0).where("verdict = 'block'").count() == 0
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
 def test_links(docs, rows, width, percent):
     sets = {}
