@@ -109,6 +109,36 @@ def test_bits_are_a_distribution():
     assert np.allclose(lmscore.score(many, counts, mixer), [lmscore.score([x], counts, mixer)[0] for x in many])
 
 
+def test_context_counts_are_exact_over_buckets(spark):
+    """More nodes than the fixed tables had slots, cut into buckets: each bit's counts are those of all learned segments."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    words = sorted({bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 30))) for _ in range(5_000)})
+    rows = [(bytearray(x), i % 3) for i, x in enumerate(words)]
+    segments = lmscore.bucketed(spark.createDataFrame(rows, "segment binary, n long"), 1500)
+    counts = lmscore.shared_counts(segments).toPandas()
+    parts, whose, which = lmscore.parts_of(words)
+    n = np.bincount(which, np.array([x[1] for x in rows])[whose], len(parts))
+    true, nodes = collections.Counter(), set()
+    whole = lmscore.Cells(parts)
+    for position, node, bit in lmscore.bits_of(whole):
+        for context in whole.contexts:
+            nodes.update(zip(context.tolist(), node.tolist(), strict=True))
+            for key in zip(context.tolist(), node.tolist(), bit.tolist(), whole.totals(n).tolist(), strict=True):
+                true[key[:3]] += key[3]
+    assert len(nodes) > lmscore.SLOTS
+    held = segments.toPandas()
+    assert held.bucket.nunique() > 2
+    for number, own in held.groupby("bucket"):
+        bucket = lmscore.Bucket(pa.table({"segment": list(map(bytes, own.segment)), "n": own.n.to_numpy()}))
+        found = bucket.counts(pa.Table.from_pandas(counts[counts.bucket == number], preserve_index=False))
+        for position, node, _ in lmscore.bits_of(bucket.cells):
+            for k, context in enumerate(bucket.cells.contexts):
+                for bit, got in enumerate(found.bits(k, position)):
+                    assert got.tolist() == [true[c, x, bit] for c, x in zip(context.tolist(), node.tolist(), strict=True)]
+
+
 def test_learning_pays(spark):
     text = "the cat sat on the mat and the dog sat on the log "
     docs = spark.createDataFrame([(i, text * (1 + i % 3)) for i in range(20)], "doc_id long, text string")
