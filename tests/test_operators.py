@@ -116,3 +116,24 @@ def test_noise_is_the_legacy_generators(spark):
     got = {(r.edge_id, r.slot): r.speed for r in routing.perturbed(profile, 2, 3).collect()}
     want = 2 * np.random.RandomState(42).uniform(0.7, 1.3, (2, 3))
     assert all(np.isclose(got[k], want[k]) for k in np.ndindex(2, 3)) and routing.slot_minutes(24, True) == 60
+
+
+def test_whole_attention_reads_every_node_and_edge(spark, tmp_path):
+    from zonecast.plans import catalog
+
+    r = np.random.default_rng(4)
+    e = r.normal(size=(30, 5)).astype(np.float32)
+    spark.createDataFrame([(i, e[i].tolist()) for i in range(30)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 24, (60, 2))]  # the last nodes have no neighbours
+    spark.createDataFrame(edges, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = {*edges, *((i, i) for i in range(30))}
+    weights = {}
+    for i in range(30):
+        own = {b: float(e[i, 0]) + float(e[b, 1]) for a, b in pairs if a == i}
+        grown = {b: np.exp(x if x > 0 else 0.2 * x) for b, x in own.items()}
+        weights |= {(i, b): x / sum(grown.values()) for b, x in grown.items()}
+    got = {(x.recv, x.send): x.weight for x in catalog.segment_softmax_all(spark, str(tmp_path)).collect()}
+    assert got.keys() == weights.keys() and all(abs(got[x] - weights[x]) < 1e-4 for x in got)
+    out = {(x.node, x.d): x.out for x in catalog.sparse_attention_all(spark, str(tmp_path)).collect()}
+    sums = {(i, d): sum(w * float(e[b, d + 2]) for (a, b), w in weights.items() if a == i) for i in range(30) for d in range(3)}
+    assert out.keys() == sums.keys() and all(abs(out[x] - (s if s > 0 else np.expm1(s))) < 1e-4 for x, s in sums.items())

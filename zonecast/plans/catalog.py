@@ -295,6 +295,26 @@ def sparse_attention(spark, d):
     return A.sparse_attention(*_attending(spark, d)).withColumn("out", rounded(F.col("out")))
 
 
+def _attending_all(spark, d):
+    """All embeddings as nodes, all but two components as values; (part, supplier) of all line items, by place among the nodes, as edges."""
+    v = _read(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("e"))
+    nodes = v.select("node", F.col("e")[0].alias("q"), F.col("e")[1].alias("k"), F.slice("e", 3, F.greatest(F.size("e") - 2, F.lit(0))).alias("v"))
+    size = v.agg(F.greatest(F.max("node") + 1, F.lit(1)).alias("n")).first().n or 1
+    edges = _read(spark, d, "lineitem").select((F.col("l_partkey") % size).alias("src"), (F.col("l_suppkey") % size).alias("dst"))
+    return nodes, G.with_loops(edges, nodes)
+
+
+def segment_softmax_all(spark, d):
+    nodes, pairs = _attending_all(spark, d)
+    scored = pairs.join(nodes.select(F.col("node").alias("recv"), "q"), "recv").join(nodes.select(F.col("node").alias("send"), "k"), "send")
+    out = A.segment_softmax(scored.select("recv", "send", A.leaky(F.col("q") + F.col("k")).alias("score")))
+    return out.select("recv", "send", rounded(F.col("weight")).alias("weight"))
+
+
+def sparse_attention_all(spark, d):
+    return A.sparse_attention(*_attending_all(spark, d)).withColumn("out", rounded(F.col("out")))
+
+
 def dense_attention(spark, d):
     return A.dense_attention(*_attending(spark, d)).withColumn("out", rounded(F.col("out")))
 
@@ -330,6 +350,15 @@ w AS (SELECT recv, send, v, exp(s - max(s) OVER (PARTITION BY recv)) AS e FROM s
 sm AS (SELECT recv, send, v, e / sum(e) OVER (PARTITION BY recv) AS weight FROM w),
 dim AS (SELECT CAST(unnest([0, 1]) AS INT) AS d)
 """
+_ATT_ALL = """
+WITH nd AS (SELECT vec_id AS node, CAST(embedding[1] AS DOUBLE) AS q, CAST(embedding[2] AS DOUBLE) AS k, embedding AS e FROM embeddings),
+sz AS (SELECT max(node) + 1 AS n FROM nd),
+prs AS (SELECT l_partkey % n AS recv, l_suppkey % n AS send FROM lineitem, sz UNION SELECT node, node FROM nd),
+sc AS (SELECT recv, send, CASE WHEN a.q + b.k > 0 THEN a.q + b.k ELSE 0.2 * (a.q + b.k) END AS s, b.e AS v FROM prs JOIN nd a ON a.node = recv JOIN nd b ON b.node = send),
+w AS (SELECT recv, send, v, exp(s - max(s) OVER (PARTITION BY recv)) AS e FROM sc),
+sm AS (SELECT recv, send, v, e / sum(e) OVER (PARTITION BY recv) AS weight FROM w),
+dim AS (SELECT CAST(unnest(range(0, (SELECT max(len(e)) - 2 FROM nd))) AS INT) AS d)
+"""
 _ELU = "CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END"
 _PERSIST = _SERIES + """,
 per AS (SELECT b.zone, b.idx, h.demand AS hd, h.supply AS hs, x.demand AS xd, x.supply AS xs FROM wind b JOIN pos h ON h.zone = b.zone AND h.p = b.idx + 11
@@ -348,7 +377,7 @@ QUERIES = {f.__name__: f for f in (
     temporal_features, calendar_split, split_windows, split_counts,
     norm_stats_counts, norm_stats_speed, normalize_counts, normalize_speed, denormalize_roundtrip, history_windows, target_windows,
     profile_floor, speed_profile_mean, profile_slot_minutes, perturbed_profile,
-    segment_softmax, sparse_attention, dense_attention, gated_temporal_conv_lag, multi_task_loss, raw_metrics,
+    segment_softmax, sparse_attention, segment_softmax_all, sparse_attention_all, dense_attention, gated_temporal_conv_lag, multi_task_loss, raw_metrics,
 )}
 
 ORACLE_SQL = {
@@ -385,6 +414,8 @@ ORACLE_SQL = {
     "profile_slot_minutes": "SELECT 15 AS averaged, 15 AS odd, 15 AS raw",
     "segment_softmax": _ATT + f"SELECT recv, send, {_r('weight')} AS weight FROM sm",
     "sparse_attention": _ATT + f"SELECT node, d, {_r(_ELU)} AS out FROM (SELECT node, d, coalesce(sum(weight * sm.v[d + 1]), 0) AS x FROM nd CROSS JOIN dim LEFT JOIN sm ON recv = node GROUP BY ALL)",
+    "segment_softmax_all": _ATT_ALL + f"SELECT recv, send, {_r('weight')} AS weight FROM sm",
+    "sparse_attention_all": _ATT_ALL + f"SELECT node, d, {_r(_ELU)} AS out FROM (SELECT node, d, coalesce(sum(weight * sm.v[d + 3]), 0) AS x FROM nd CROSS JOIN dim LEFT JOIN sm ON recv = node GROUP BY ALL)",
     "dense_attention": _ATT + f", dn AS (SELECT a.node AS recv, b.node AS send, b.v, coalesce(sc.s, -1e9) AS s FROM nd a CROSS JOIN nd b LEFT JOIN sc ON sc.recv = a.node AND sc.send = b.node), dw AS (SELECT *, exp(s - max(s) OVER (PARTITION BY recv)) AS e FROM dn), ds AS (SELECT *, e / sum(e) OVER (PARTITION BY recv) AS weight FROM dw) SELECT node, d, {_r(_ELU)} AS out FROM (SELECT recv AS node, d, sum(weight * v[d + 1]) AS x FROM ds CROSS JOIN dim GROUP BY ALL)",
     "gated_temporal_conv_lag": _SERIES + f", xs AS (SELECT zone, t, ln(1 + demand) AS x0, coalesce(lag(ln(1 + demand), 2) OVER w, 0) AS x2, coalesce(lag(ln(1 + demand), 4) OVER w, 0) AS x4 FROM series WINDOW w AS (PARTITION BY zone ORDER BY t)), g AS (SELECT *, 1 / (1 + exp(-{_conv([0.4, 0.2, -0.6, 0.1])})) AS g FROM xs) SELECT zone, t, {_r(f'g * {_conv([0.2, -0.1, 0.5, 0.05])} + (1 - g) * {_conv([0.1, 0.3, -0.2, 0.0])}')} AS out FROM g",
     "multi_task_loss": _PERSIST + f", b AS (SELECT task, batch, avg(e * e) AS mse FROM err GROUP BY ALL), m AS (SELECT task, avg(mse) AS mse FROM b GROUP BY task) SELECT {_r('sum(mse * CASE WHEN task = $$demand$$ THEN 1.0 ELSE 0.5 END)')} AS loss FROM m",
