@@ -40,18 +40,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark removes the shuffle files of a statement when it ends: nothing reads them once its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Keys with over one in so many rows are joined by broadcast: there are fewer of them than this, whatever the input.
+HOT_KEYS = 10_000
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends, and lost executors lose nothing.
 
-    The files go when this Python process ends; drop() frees them earlier.
+    Its shuffle files go when it is written. The files go when this Python process ends; drop() frees them earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kept/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{shared_dir(spark)}/kept/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of rows with table, which has one row a key and in count how many of the total rows have that key.
+
+    A key of over total / HOT_KEYS rows never meets in one task: those keys, fewer than HOT_KEYS, are broadcast. Both
+    are read twice: give written tables.
+    """
+    most = max(1, total // HOT_KEYS)
+    hot = F.broadcast(table.where(F.col(count) > most))
+    cold = rows.join(F.broadcast(table.where(F.col(count) > most).select(*on)), on, "left_anti").join(table.where(F.col(count) <= most), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that keep() wrote. Nothing may read it afterwards."""
     for file in df.inputFiles()[:1]:

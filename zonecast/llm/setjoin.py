@@ -1,21 +1,23 @@
 """Exact Jaccard self-join of shingle sets by a token-group matrix.
 
-1. Texts become sets of 64-bit shingle hashes; equal sets are one node, the least doc_id its name.
-2. The matrix's sparse rows: the hash space is cut into parts, and each part of a set has one signature. Two sets
-   over the threshold differ in at most H tokens, so of 2 (H + 1) parts at least half are equal (sets with more empty
-   parts than that also sign these). So it is enough to look at a set's rarer signatures, about the first half: of
-   those that a linked pair shares, the rarest is among them on both sides. Sets of sizes that can reach the
-   threshold use the same parts, so no link is lost; a passage that many documents share has frequent signatures,
-   which are not looked at unless little else is there.
-3. Groups: sets that share signatures are compared with one leader of those, the set whose signatures are shared
-   most, and verified links make groups. Sets without a link are grouped by their most shared signature. Groups are
-   held in blocks of about BLOCK sets; a block stores its members, their token union and the least size.
-4. A set whose signature is also in another group's block is a query of that block. Its overlap with the union
-   bounds its overlap with any member; only blocks whose bound reaches the threshold are opened, and their members
-   compared one by one. Sets already in one group need no comparison: components need one link, not all.
-
-Skew: equal sets are one node before anything is paired; a signature with many sets pairs each with one leader,
-then only across groups, from the smaller group's side. Token arrays are made only for sets with a partner.
+1. Texts become sets of 64-bit shingle hashes. Equal sets are one node, named by the least doc_id.
+2. Columns: two linked sets have a token in common among the first p of either in any one order of all tokens, where
+   p - 1 is how many of its tokens a set's partner can lack. The order here: tokens of low hash (a share of all that
+   makes about SPARE p a set) by how many rows hold them, then the others by hash. So a passage that many documents
+   share comes last, and is only looked at by sets that hold little else. Only low tokens are counted and moved.
+3. Groups: a set belongs to the group of one of its looked-at tokens, the lowest of those that about as many sets
+   share as share any of them; so most near copies of a text fall into one group. A group is held in blocks of about
+   BLOCK sets and VOLUME tokens.
+4. Opening a set's own block: its members are rows of the matrix over the tokens two of them share, and the product of
+   the matrix with itself has the sizes of all intersections. Links in a block make classes.
+5. Query and group: a set of another class that shares a looked-at token with a member asks that block. The block's
+   token union bounds its overlap with any member; only if the bound reaches the threshold is the block opened, and
+   the query compared with each member. First one set of each class asks, which joins the blocks of large groups, then
+   all sets whose looked-at tokens are still in two classes. Components need one link, so sets in one class ask no more.
+
+Skew: tokens and copies that very many rows share are joined by broadcast (join_hot); of two classes that share a
+token, the sets of the smaller ask; queries of one block are dealt to chunks of CHUNK. Token sets are made and moved
+only for sets with a possible partner.
 
 Empty sets (null, empty or blank texts) link with nothing and are their own component. Texts under the shingle
 length are one shingle. Rows with a null doc_id get a null component. Rows that repeat a doc_id are one node, so
@@ -25,20 +27,21 @@ their links join. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, drop, keep
+from .common import documents, drop, join_hot, keep
 from .components import components
 
-#: Sets a block; a signature in DENSE blocks and one of DENSE blocks of a home counts as in all.
-BLOCK, DENSE, CACHE_SIZE = 64, 4, 200_000
+#: Sets and tokens a block, queries a chunk, words a worker's cache holds, columns of the matrix multiplied at once.
+BLOCK, VOLUME, CHUNK, CACHE_SIZE, COLUMNS = 64, 1 << 18, 1000, 200_000, 1 << 15
+SPARE = 1.5
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_SIGN = np.uint64(1 << 63)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,53 +73,25 @@ def shingles(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-@lru_cache(maxsize=8)
-def schemes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least size of each size class, and for pairs whose smaller set is in the class: most differing tokens, spare parts."""
-    low = [1]
-    while low[-1] < 1 << 31:
-        low.append(max(low[-1] + 1, -(-low[-1] * 100 // percent)))
-    a = np.array(low[1:], np.int64) - 1
-    differ = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
-    return np.array(low, np.int64), differ, 1 + differ
+def reach(n: int, percent: int) -> int:
+    """p: how many of a set's first tokens are looked at; a partner lacks p - 1 of its n tokens at most."""
+    return n + (-n * percent) // 100 + 1
 
 
-def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
-    """The signatures of a set, the lowest bit telling the size class, and by that bit how many of them are looked at.
-
-    A set that links with it has at least need of a class's signatures too. So in any one order of all signatures, the
-    first of those both have is among the first count - need + 1 of either.
-    """
-    low, differ, spare = schemes(percent)
-    own, out, first = int(np.searchsorted(low, len(tokens), "right")) - 1, [], [0, 0]
-    mixed = _mix(tokens ^ _A)
-    for c in (own - 1, own):
-        if c < 0 or differ[c] == 0:
-            continue  # sets of these sizes are equal or apart
-        parts = int(differ[c]) + 1 + int(spare[c])
-        part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        signs = [_mix(np.add.reduceat(mixed, starts) + part[starts] * _B + np.array([c], np.uint64) * _C)]
-        unsigned = parts - len(starts)
-        if unsigned > spare[c]:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-            signs.append(_mix(empty * _B + np.array([c], np.uint64) * _C + np.uint64(1)))
-            unsigned = 0
-        signs = np.unique(np.concatenate(signs) & ~np.uint64(1) | np.uint64(c & 1))
-        need = int(spare[c]) + 1 - unsigned - (parts - unsigned - len(signs))  # less those whose hashes fell together
-        first[c & 1] = len(signs) - max(need, 1) + 1
-        out.append(signs)
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), first
+def columns(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens that may be looked at: those of low hash, or the first p where these are fewer."""
+    low = np.searchsorted(tokens, np.uint64(min(SPARE * (100 - percent) / 100, 0.999) * 2.0**64))
+    return tokens[: max(int(low), reach(len(tokens), percent))]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((flat ^ _SIGN).view(np.int64)))
 
 
-def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
-    """whole: (doc_id, tokens); else (doc_id, n, s1, s2, first, signatures), s1 and s2 naming the set."""
+def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n, p, s1, s2, columns) of each row, s1 and s2 naming the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -124,108 +99,176 @@ def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 found = [shingles(x.as_py(), words, hashes) for x in part.column(1)]
-                if whole:
-                    yield pa.RecordBatch.from_arrays([part.column(0), _lists(found)], ["doc_id", "tokens"])
-                    continue
                 names = [(_mix(x + _A).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(x * _A + _C), initial=np.uint64(0))) for x in found]
                 s1, s2 = (pa.array(np.array([x[i] for x in names], np.uint64).view(np.int64)) for i in (0, 1))
-                signed, first = zip(*[signatures(x, percent) if len(x) else (x, [0, 0]) for x in found], strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int64()), s1, s2, pa.array(first, pa.list_(pa.int32())), _lists(list(signed))], ["doc_id", "n", "s1", "s2", "first", "signatures"])
+                n, p = pa.array([len(x) for x in found], pa.int64()), pa.array([reach(len(x), percent) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), n, p, s1, s2, _lists([columns(x, percent) for x in found])], ["doc_id", "n", "p", "s1", "s2", "columns"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, p long, s1 long, s2 long, columns array<long>")
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ("tokens array<long>" if whole else "n long, s1 long, s2 long, first array<int>, signatures array<long>"))
 
+def _tokens(docs: DataFrame, words: int) -> DataFrame:
+    """docs (text and other columns) with the text's tokens in its place."""
+    others = [c for c in docs.columns if c != "text"]
 
-def _reaches(overlap: Column, n: Column, m: Column, percent: int) -> Column:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                found = _lists([shingles(x.as_py(), words, hashes) for x in part.column("text")])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), found], [*others, "tokens"])
+
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text") + ", tokens array<long>")
+
+
+class Block:
+    """Rows of the matrix: a block's sets, and all their tokens in order with the set that holds each."""
+
+    def __init__(self, tokens: pa.ChunkedArray):
+        sets = [x.values.to_numpy() for x in tokens]
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def within(self) -> np.ndarray:
+        """Sizes of the intersections of all pairs of sets."""
+        new = np.append(True, self.flat[1:] != self.flat[:-1])
+        shared = ~(new & np.append(new[1:], True))
+        column, owner = np.cumsum(new[shared]) - 1, self.owner[shared]
+        out = np.zeros((len(self.sizes), len(self.sizes)), np.int64)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            own = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+            matrix = np.zeros((len(self.sizes), COLUMNS), np.float32)
+            matrix[owner[own], column[own] - low] = 1
+            out += (matrix @ matrix.T).astype(np.int64)
+        return out
+
+    def overlaps(self, query: np.ndarray, percent: int) -> np.ndarray:
+        """The members over the threshold with query; none where the union's bound does not reach it."""
+        left, right = np.searchsorted(self.flat, query), np.searchsorted(self.flat, query, "right")
+        held = right > left
+        if not reaches(held.sum(), len(query), self.sizes.min(), percent):
+            return np.empty(0, np.int64)
+        left, count = left[held], (right - left)[held]
+        at = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.flatnonzero(reaches(np.bincount(self.owner[at], minlength=len(self.sizes)), len(query), self.sizes, percent))
+
+
+def reaches(overlap, n, m, percent: int):
     return overlap * (100 + percent) >= percent * (n + m)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) over the threshold, by comparing their whole sets."""
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-    overlap = F.size(F.array_intersect("ta", "tb"))
-    return two.where(_reaches(overlap, F.size("ta"), F.size("tb"), percent)).select("a", "b")
+def classes(linked: np.ndarray) -> np.ndarray:
+    """The least member reachable from each, from a symmetric matrix of links."""
+    linked = linked | np.eye(len(linked), dtype=bool)
+    label = np.arange(len(linked))
+    while True:
+        least = np.where(linked, label, len(label)).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
 
 
-def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row; component_id: the least doc_id reachable over links of percent and more."""
-    rows = keep(_sets(docs, words, percent, False), "sets")
-    named = rows.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "s1", "s2")
-    same = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    nodes = keep(named.join(same, ["s1", "s2"]).select("doc_id", "node").distinct(), "nodes")
-    copies = nodes.groupBy("doc_id").agg(F.min("node").alias("least")).where("least <> doc_id").select("doc_id")
-    leads = rows.where("doc_id IS NOT NULL AND n > 0").join(copies, "doc_id", "left_anti")
-    signed = leads.select(F.explode("signatures").alias("sign"), F.col("doc_id").alias("d"))
-    often = signed.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high").select("sign", "n")
-    met = keep(signed.join(often, "sign"), "met")
-    # rarest first; signatures that no other set has come before these, and count as looked at
-    odd = F.col("sign").bitwiseAND(1)
-    looked = leads.select(F.col("doc_id").alias("d"), F.posexplode("first").alias("odd", "first"), "signatures")
-    looked = looked.select("d", "odd", (F.col("first") - F.size(F.filter("signatures", lambda x: x.bitwiseAND(1) == F.col("odd")))).alias("room"))
-    place = Window.partitionBy("d", "odd").orderBy("n", "sign")
-    ranked = met.withColumn("odd", odd.cast("int")).withColumn("place", F.row_number().over(place)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("d", "odd")))
-    signed = keep(ranked.join(looked, ["d", "odd"]).where("place - of <= room").select("sign", "d"), "looked")
-    drop(met)
-
-    shared = keep(signed.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high"), "shared")
-    many = keep(signed.join(shared.where("n > 2").select("sign", F.col("n").alias("sharers")), "sign"), "many")
-    # the leader of a signature is the set whose signatures are shared most: a text that others are copies of before any copy
-    ranked = many.join(many.groupBy("d").agg(F.sum("sharers").alias("rank")), "d")
-    leaders = ranked.groupBy("sign").agg(F.max_by("d", F.struct("rank", "d")).alias("lead"))
-    # a set is compared with the leaders it meets twice; what that leaves apart is compared between groups
-    led = many.join(leaders, "sign").where("d <> lead").groupBy("lead", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.least("lead", "d"), F.greatest("lead", "d"))
-    pairs = keep(shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(led).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(many.select("d")).distinct()
-    sets = keep(_sets(docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi"), words, percent, True), "tokens")
-    drop(shared)
-
-    links = keep(_linked(pairs, sets, percent), "links")
-    groups = components(links)
-    more = _between(many, groups, sets, percent)
-    edges = links.union(more).union(nodes.where("doc_id <> node").select("doc_id", "node")).toDF("a", "b")
-    found = components(edges)
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+def _within(members: DataFrame, percent: int) -> DataFrame:
+    """(d, class) of each set: a set of its block that links reach from it."""
+    kind = dict(members.dtypes)["d"]
 
+    def run(rows: pa.Table) -> pa.Table:
+        block = Block(rows.column("tokens"))
+        links = reaches(block.within(), block.sizes[:, None], block.sizes[None], percent)
+        return pa.table({"d": rows.column("d"), "class": rows.column("d").take(pa.array(classes(links)))})
 
-def _between(many: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between groups, from signatures (sign, d, sharers) of three and more sets: query, bound, open.
+    return members.select("home", "block", "d", "tokens").groupBy("home", "block").applyInArrow(run, f"d {kind}, class {kind}")
 
-    A home holds the sets of one verified group, or sets without a link whose most shared signature is the same; it is
-    cut into blocks. Of two homes that share a signature, the sets of the smaller ask the larger: the blocks that hold
-    the signature, or all blocks where a good part of them do, which is then said once and not once a signature. A query
-    opens a block at most once, and compares itself with the block's members where the block is.
+
+def _across(asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the queries asked (d, home, block) with members of those blocks."""
+    kind = dict(members.dtypes)["d"]
+    queries = members.select(F.col("d").alias("q"), F.col("tokens").alias("sought")).join(asked.select(F.col("d").alias("q"), "home", "block"), "q")
+    chunks = asked.groupBy("home", "block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    held = members.join(chunks, ["home", "block"]).select("home", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "d", "tokens")
+    queries = queries.join(chunks, ["home", "block"]).select("home", "block", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("chunk"), "q", "sought").toDF("to", "to_block", "to_chunk", "q", "sought")
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        a, b = [], []
+        if rows.num_rows:
+            block, names = Block(rows.column("tokens")), rows.column("d").to_pylist()
+            for d, tokens in zip(queries.column("q").to_pylist(), queries.column("sought"), strict=True):
+                found = block.overlaps(tokens.values.to_numpy(), percent)
+                a += [d] * len(found)
+                b += [names[i] for i in found]
+        return pa.table({"a": pa.array(a, queries.schema.field("q").type), "b": pa.array(b, queries.schema.field("q").type)})
+
+    return held.groupBy("home", "block", "chunk").cogroup(queries.groupBy("to", "to_block", "to_chunk")).applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def _ask(cells: DataFrame, percent: int) -> DataFrame:
+    """(d, home, block): the blocks each set asks. cells: (token, d, low, n, home, block, class), written.
+
+    Of two classes that share a token, the sets of the one with fewer rows here ask the blocks that hold the token in
+    the other, if their sizes can link. A set is not sent to its own block, which has compared it.
     """
-    of = groups.select(F.col("id").alias("d"), F.col("component").alias("g"))
-    cells = many.select("sign", "d", "sharers").join(of, "d", "left").withColumn("alone", F.col("g").isNull()).withColumn("g", F.coalesce("g", "d"))
-    apart = cells.groupBy("sign").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("sign")
-    cells = keep(cells.join(apart, "sign", "left_semi"), "cells")
-    homes = cells.groupBy("d", "g", "alone").agg(F.max(F.struct("sharers", "sign"))["sign"].alias("most"))
-    homes = homes.select("d", "g", F.struct("alone", F.when(F.col("alone"), F.col("most")).otherwise(F.col("g")).alias("name")).alias("home"))
-    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    homes = keep(homes.join(sizes, "home").select("d", "g", "home", "size", "blocks", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int").alias("block")), "homes")
-    placed = cells.select("sign", "d").join(homes, "d")
-    held = placed.groupBy("sign", "home", "size", "blocks", "block").agg(F.min("g").alias("g"))
-    dense = held.groupBy("sign", "home").agg(F.count(F.lit(1)).alias("n"), F.first("blocks").alias("blocks")).where(f"n >= {DENSE} AND n * {DENSE} >= blocks").select("sign", "home")
-    held = held.join(dense.withColumn("all", F.lit(True)), ["sign", "home"], "left")
-    held = held.select("sign", F.col("home").alias("to"), F.col("size").alias("to_size"), F.col("blocks").alias("to_blocks"), F.when(F.col("all"), -1).otherwise(F.col("block")).alias("to_block")).distinct()
-    # sets of a home without links also ask that home
-    smaller = F.struct("size", "home") < F.struct(F.col("to_size").alias("size"), F.col("to").alias("home"))
-    within = (F.col("home") == F.col("to")) & F.col("to.alone")
-    asked = placed.join(held, "sign").where(smaller | within).select("d", "g", "home", "block", "to", "to_block", "to_blocks").distinct()
-    every = F.when(F.col("to_block") < 0, F.sequence(F.lit(0), F.col("to_blocks") - 1)).otherwise(F.array("to_block"))
-    asked = asked.select("d", "g", "home", "block", "to", F.explode(every).alias("to_block")).where((F.col("home") != F.col("to")) | (F.col("block") <= F.col("to_block")))
-    asked = asked.select("d", "g", F.struct("to", "to_block").alias("to")).distinct()
-    tokens = sets.select(F.col("doc_id").alias("d"), "tokens")
-    members = homes.join(tokens, "d").groupBy(F.struct(F.col("home").alias("to"), F.col("block").alias("to_block")).alias("to")).agg(F.collect_list(F.struct("d", "g", "tokens")).alias("members"))
-    blocks = members.select("to", "members", F.array_distinct(F.flatten("members.tokens")).alias("union"), F.array_min(F.transform("members", lambda m: F.size(m["tokens"]))).alias("least"))
-    size, bound = F.size("tokens"), F.size(F.array_intersect("tokens", "union"))
-    # the queries' sets go to the blocks: small rows are joined first
-    opened = asked.join(tokens, "d").join(blocks, "to").where(_reaches(bound, size, F.col("least"), percent))
-    same = lambda m: (m["g"] != F.col("g")) & _reaches(F.size(F.array_intersect("tokens", m["tokens"])), size, F.size(m["tokens"]), percent)
-    hits = F.transform(F.filter("members", same), lambda m: m["d"])
-    return opened.select(F.col("d").alias("a"), F.explode(F.when(F.col("to.to.alone"), hits).otherwise(F.slice(hits, 1, 1))).alias("b"))
+    several = cells.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high").select("token", "rows")
+    apart = keep(join_hot(cells, several, ["token"], "rows", max(1, cells.count())), "apart")
+    sizes = apart.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
+    apart = keep(join_hot(apart, sizes, ["class"], "size", max(1, apart.count())), "apart")
+    held = apart.groupBy("token", "class", "size", "home", "block").agg(F.min("low").alias("least"), F.max("n").alias("most"))
+    held = held.select("token", F.struct("size", "class").alias("to_rank"), F.col("home").alias("to_home"), F.col("block").alias("to_block"), "least", "most")
+    met = apart.join(held, "token").where((F.struct("size", "class") < F.col("to_rank")) & ((F.col("home") != F.col("to_home")) | (F.col("block") != F.col("to_block"))))
+    fits = (100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("low") <= 100 * F.col("most"))
+    return met.where(fits).select("d", F.col("to_home").alias("home"), F.col("to_block").alias("block")).distinct()
+
+
+def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row; component_id: the least doc_id reachable over links of percent and more."""
+    rows = keep(_sets(docs, words, percent), "sets")
+    sets = rows.where("doc_id IS NOT NULL AND n > 0")
+    total = sets.agg(F.coalesce(F.sum(F.size("columns")), F.lit(0))).first()[0]
+    same = keep(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "same")
+    copies = keep(join_hot(sets.select("doc_id", "s1", "s2"), same, ["s1", "s2"], "rows", max(1, rows.count())).where("doc_id <> node").select("doc_id", "s1", "s2", "node").distinct(), "copies")
+
+    # 2. the tokens that are looked at; all, where a doc_id has several sets
+    spread = sets.select(F.explode("columns").alias("token"), F.col("doc_id").alias("d"))
+    often = keep(spread.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "often")
+    met = join_hot(spread, often, ["token"], "rows", max(1, total))
+    named = sets.select(F.col("doc_id").alias("d"), "n", "p", "s1", "s2", F.size("columns").alias("k")).join(copies.select(F.col("doc_id").alias("d"), "s1", "s2"), ["d", "s1", "s2"], "left_anti").groupBy("d").agg(F.min("n").alias("low"), F.max("n").alias("n"), F.sum("k").alias("k"), F.when(F.count(F.lit(1)) == 1, F.max("p")).otherwise(F.sum("k")).alias("p"))
+    of = Window.partitionBy("d")
+    ranked = met.join(named, "d").withColumn("place", F.row_number().over(of.orderBy("rows", "token"))).withColumn("m", F.count(F.lit(1)).over(of))
+    looked = keep(ranked.where("place <= p - (k - m)").select("token", "d", "low", "n"), "looked")
+    drop(often)
+    shared = keep(looked.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "shared")
+    many = keep(join_hot(looked, shared, ["token"], "rows", max(1, looked.count())), "many")
+    drop(looked)
+
+    # 3. groups and their blocks
+    owned = many.groupBy("d", "low", "n").agg(F.collect_list(F.struct("token", "rows")).alias("own"))  # p tokens at most
+    homes = keep(owned.select("d", "n", F.array_min(F.transform(F.filter("own", lambda x: 2 * x["rows"] >= F.array_max("own.rows")), lambda x: x["token"])).alias("home")), "homes")
+    room = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / VOLUME)).cast("int")
+    groups = homes.groupBy("home").agg(room.alias("blocks"), F.count(F.lit(1)).alias("rows"))
+    homes = keep(join_hot(homes, keep(groups, "groups"), ["home"], "rows", max(1, homes.count())).select("d", "n", "home", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int").alias("block")), "homes")
+    texts = docs.select(F.col("doc_id").alias("d"), "text").join(homes.select("d", "home", "block"), "d")
+    members = keep(_tokens(texts, words), "members")
+
+    # 4. own blocks
+    inner = keep(_within(members, percent), "classes")
+    links = inner.select(F.col("d").alias("a"), F.col("class").alias("b"))
+    # 5. other blocks: one set a class, then all that still meet another class
+    joined = components(links)
+    for turn in range(2):
+        of = homes.join(joined.select(F.col("id").alias("d"), F.col("component").alias("class")), "d", "left").select("d", "home", "block", F.coalesce("class", "d").alias("class"))
+        if turn == 0:
+            of = of.join(inner.where("d = class").select("d").distinct(), "d", "left_semi")
+        cells = keep(many.select("token", "d", "low", "n").join(of, "d"), "cells")
+        found = keep(_across(keep(_ask(cells, percent), "asked"), members, percent), "links")
+        drop(cells)
+        links = links.union(found)
+        joined = components(links)
+    found = components(links.union(copies.select("doc_id", "node")))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
