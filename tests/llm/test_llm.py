@@ -228,9 +228,32 @@ def test_bounds_never_pass_best_fit():
 
 
 def test_exchange_between_partitions(spark, tmp_path):
-    spark.createDataFrame([(i, int(x)) for i, x in enumerate(np.random.default_rng(2).integers(1, 4096, 900))], "doc_id int, length long").write.parquet(f"{tmp_path}/items")
-    out = packing.pack(spark.read.parquet(f"file://{tmp_path}/items"), per_part=100).toPandas()
-    assert len(out) == 900 and out.groupby("sequence_id").length.sum().max() <= 4096 and out.sequence_id.nunique() <= 1.06 * out.length.sum() / 4096
+    lengths = np.random.default_rng(2).integers(1, 4096, 5000)
+    spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "doc_id int, length long").write.parquet(f"{tmp_path}/items")
+    out, certificates = packing.packed(spark.read.parquet(f"file://{tmp_path}/items"), per_part=200)
+    out, certificates = out.toPandas(), certificates.toPandas()
+    assert len(out) == 5000 and sorted(out.length) == sorted(lengths) and out.groupby("sequence_id").length.sum().max() <= 4096
+    assert out.sequence_id.nunique() <= 1.01 * packing.lower_bound(lengths, 4096)
+    assert (certificates.bins >= certificates.bound).all() and certificates["round"].nunique() > 1 and (certificates.bins - certificates.given).sum() == out.sequence_id.nunique()
+
+
+def test_tokens_of_the_vocabulary_are_themselves():
+    """What makes merging by lowest id the library's own encoding: each token, encoded alone, is that token."""
+    import json
+
+    import public_tokenizers
+    from tokenizers.models import BPE
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = packing.WordIds(path)
+    model, plain = words.found.model, json.load(open(path))["model"]
+    inner = BPE(plain["vocab"], [tuple(x) for x in plain["merges"]])
+    for token, i in plain["vocab"].items():
+        own = model.tokenize(token.removesuffix("</w>")) if token.endswith("</w>") else inner.tokenize(token)
+        assert [x.id for x in own] == [i], token
+    assert all(plain["vocab"]["".join(x)] == 512 + i for i, x in enumerate(plain["merges"]))
+    odd = ["it's we'LL don't’s «ça» ½ 12 ª", "İstanbul", "a\x7fb", "\x85 x\x0by", "Ǆ ß ÿŸ—…€", "a" * 500 + " " + "!?" * 90, "<|endoftext|> x", "e\u0301"]
+    assert words.of(odd) == [np.array(words.found.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
 
 
 def test_exact(spark, folder, rows):

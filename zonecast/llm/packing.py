@@ -1,11 +1,11 @@
 """Best-fit packing with certified bin counts.
 
 Documents become token pieces of at most CAPACITY; only longer documents are cut. Full pieces are sequences of
-their own. The others are dealt to partitions of about ITEMS pieces and packed by best-fit decreasing. Each
-partition gets a lower bound of its bin count from dual-feasible functions: if its bins are as few, it is certified
-and done. Partitions with a gap give back the pieces of their bins that are not full, and every partition its
-least full bin; these pieces are exchanged, dealt anew to fewer partitions, and packed again. Rounds go on until
-what is given back fits one partition or nothing is.
+their own. The others are dealt to partitions of about ITEMS pieces, each with short and long ones alike, and packed
+by best-fit decreasing. Each partition gets a lower bound of its bin count from dual-feasible functions: if its bins
+are as few, it is certified. Partitions with a gap give back the pieces of bins that are not nearly full, and every
+partition gives back its least full bin; these pieces are exchanged, dealt anew to fewer partitions, and packed again,
+until what is given back fits one partition, which keeps all. What counts as nearly full is wider in each round.
 
 A partition holds ITEMS (piece, length) pairs whatever the input, so memory is bounded; what is exchanged shrinks
 by each round. Tokens are counted and hashed where the text is read and never shuffled.
@@ -18,22 +18,30 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, keep
 
-#: A cache of 400,000 words of at most 40 characters takes about 60 MB of a worker.
-CAPACITY, ITEMS, MOST_ROUNDS, CACHE_SIZE, LONGEST, TAIL = 4096, 50_000, 6, 400_000, 40, ".,;:!?"
+CAPACITY, ITEMS = 4096, 50_000
+#: A cache of 400,000 pre-tokens of at most 40 characters takes about 80 MB of a worker.
+CACHE_SIZE, LONGEST = 400_000, 40
+#: The share of a bin that may stay free in a partition with a gap; twice as much in each further round.
+SLACK = 0.0005
+#: Fixed value: the public pre-token pattern of this vocabulary of word ends.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that composing leaves alone and on which the libraries' classes and lower case agree.
+SAFE = r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]*"
+#: Stands for the end of a pre-token; not in SAFE.
+MARK = "\x7f"
 
 
 @lru_cache(maxsize=4)
@@ -48,52 +56,55 @@ def tokenizer(path: str):
 
 
 class WordIds(dict):
-    """Word to its ids as little-endian unsigned 32-bit numbers; started anew when large.
+    """Texts to ids, as little-endian unsigned 32-bit numbers. As a dict, a cache of pre-tokens, started anew when large.
 
-    This tokenizer drops white space and never merges over it, so blanks and line ends part words. It also composes and
-    then lower-cases characters: where no combining mark can occur, A-Z are lowered before the lookup.
+    The same vocabulary is given to the faster tiktoken: a pre-token's bytes with MARK behind them are merged by lowest
+    id first. That is the library's own order, since ids run in the order of merges, and comes to the same ids because
+    every token of the vocabulary, encoded alone, is itself (tests go over all of them). A text with a character
+    outside SAFE, or with a special string, is encoded by the library.
     """
 
     def __init__(self, path: str):
+        import tiktoken
+
         super().__init__()
         self.found = tokenizer(path)
         self.specials = tuple(x.content for x in self.found.get_added_tokens_decoder().values())
-        self.marks = re.compile("[\u0300-\U0010ffff]").search
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.found.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        return self.encode(word)
+        self.ranks = {self.bytes_of(x): i for x, i in self.found.get_vocab(with_added_tokens=False).items()}
+        self.fast = tiktoken.Encoding("words", pat_str=f"[^{MARK}]*{MARK}", mergeable_ranks=self.ranks, special_tokens={})
+        self.ends = np.zeros(max(self.ranks.values()) + 1, bool)
+        self.ends[[i for x, i in self.ranks.items() if x.endswith(MARK.encode()) and x != MARK.encode()]] = True
+        self.safe, self.split = regex.compile(SAFE).fullmatch, regex.compile(PATTERN).findall
+
+    @staticmethod
+    def bytes_of(token: str) -> bytes:
+        """A token of a byte-level vocabulary as bytes. Printable Latin-1 stands for itself, other bytes for 256 and up."""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        value = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        word = token.removesuffix("</w>") if token != "</w>" else token
+        return bytes(value[c] for c in word) + MARK.encode() * (word != token)
 
     def learn(self, words: set[str]) -> None:
-        """Encode those of words that are new, all in one call; words over LONGEST are left to the lookup.
-
-        Marks of TAIL behind a letter are a pre-token of their own, so such a word is its two parts, each encoded once.
-        """
+        """Encode those of words that are new, all in one call; words over LONGEST are left to the lookup."""
         if len(self) + len(words) > CACHE_SIZE:
             self.clear()
-        new, tailed = set(), []
-        for word in words:
-            if word in self or len(word) > LONGEST:
-                continue
-            core = word.rstrip(TAIL)
-            if len(core) == len(word) or not core[-1:].isalpha():
-                new.add(word)
-            else:
-                tailed.append((word, core, word[len(core) :]))
-        parts = [x for x in new.union(*((core, tail) for _, core, tail in tailed)) if x not in self]
-        for word, ids in zip(parts, self.found.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self[word] = array("I", ids.ids).tobytes()
-        for word, core, tail in tailed:
-            self[word] = self[core] + self[tail]
+        if new := [x for x in words if len(x) <= LONGEST and x not in self]:
+            ids = self.fast.encode_to_numpy(MARK.join(new) + MARK)
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            data, low = ids.astype("<u4").tobytes(), 0
+            for word, high in zip(new, ends.tolist(), strict=True):
+                self[word] = data[low:high]
+                low = high
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fast.encode_to_numpy(word + MARK).astype("<u4").tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        lowered = [x if self.marks(x) else x.encode().lower().decode() for x in texts]
-        words = [None if any(s in x for s in self.specials) else x.replace("\n", " ").split(" ") for x in lowered]
+        words = [None if self.safe(x) is None or any(s in x for s in self.specials) else self.split(x.lower()) for x in texts]
         self.learn(set().union(*(x for x in words if x is not None)))
-        return [self.encode(text) if own is None else b"".join(map(self.__getitem__, own)) for text, own in zip(texts, words, strict=True)]
+        whole = lambda text: np.array(self.found.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(text) if own is None else b"".join(map(self.__getitem__, own)) for text, own in zip(texts, words, strict=True)]
 
 
 _held: dict[str, WordIds] = {}
@@ -154,9 +165,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     size, n = np.unique(lengths, return_counts=True)
     best = -(-int((size * n).sum()) // capacity)
     # cut-off e: over capacity - e counts as a whole bin, under e as nothing
-    for e in np.unique(np.concatenate([size[size <= capacity // 2], capacity - size[size > capacity // 2]]))[:512]:
-        f = np.where(size > capacity - e, capacity, np.where(size < e, 0, size))
-        best = max(best, -(-int((f * n).sum()) // capacity))
+    cuts = np.unique(np.concatenate([size[size <= capacity // 2], capacity - size[size > capacity // 2]]))
+    total, number = np.append(0, np.cumsum(size * n)), np.append(0, np.cumsum(n))
+    low, high = np.searchsorted(size, cuts), np.searchsorted(size, capacity - cuts, "right")
+    whole = (number[-1] - number[high]) * capacity + total[high] - total[np.minimum(low, high)]
+    best = max(best, -(-int(whole.max(initial=0)) // capacity))
     # rounding k: x counts as floor((k + 1) x / capacity) / k of a bin, or as x where that is whole
     for k in range(1, 33):
         y = (k + 1) * size
@@ -165,46 +178,65 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_part: int = ITEMS) -> DataFrame:
-    """items (length and any other columns) with sequence_id and offset. Lengths are 1 to capacity. items: a written table."""
+def _packer(capacity: int, slack: float, last: bool):
+    """Packs one partition; slack: the room a bin that is kept may have if the partition has a gap; last: all are kept."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        lengths = frame["length"].to_numpy()
+        bins = best_fit(lengths, capacity)
+        fill = np.bincount(bins, lengths).astype(np.int64)
+        bound = lower_bound(lengths, capacity)
+        given = (fill < capacity - slack) if len(fill) > bound else np.zeros(len(fill), bool)
+        given[np.argmin(fill)] = True
+        given &= not last
+        order = np.argsort(bins, kind="stable")
+        ends = np.cumsum(lengths[order])
+        starts = ends - lengths[order]
+        first = np.searchsorted(bins[order], bins[order], "left")
+        offset = np.empty(len(bins), np.int64)
+        offset[order] = starts - starts[first]
+        return frame.assign(_bin=bins, _offset=offset, _again=given[bins], _bins=len(fill), _bound=bound, _given=int(given.sum()))
+
+    return one
+
+
+def packed(items: DataFrame, capacity: int = CAPACITY, per_part: int = ITEMS) -> tuple[DataFrame, DataFrame]:
+    """items (length and any other columns) with sequence_id and offset, and the certificates.
+
+    Lengths are 1 to capacity. items: a written table. A certificate (round, part, bins, bound, given) says how many bins
+    a partition made of its pieces, how few they need at least, and how many of the bins were given back.
+    """
     columns = [f"`{c}`" for c in items.columns]
     full = items.where(F.col("length") == capacity)
     left = items.where(F.col("length") < capacity)
-    done, counted = [], left.count()
+    done, reports, counted, turn = [], [], left.count(), 0
     spread = [F.col(c) for c in columns]
-    schema = ", ".join(f"{c} {t}" for c, t in zip(columns, (t for _, t in items.dtypes), strict=True)) + ", part int, bin long, offset long, again boolean"
-    for turn in range(MOST_ROUNDS):
-        parts = max(1, -(-counted // per_part))
-        last = turn == MOST_ROUNDS - 1 or parts == 1
-
-        def one(frame: pd.DataFrame) -> pd.DataFrame:
-            lengths = frame["length"].to_numpy()
-            bins = best_fit(lengths, capacity)
-            fill = np.bincount(bins, lengths).astype(np.int64)
-            gap = len(fill) > lower_bound(lengths, capacity)
-            given = (fill < capacity) if gap else np.zeros(len(fill), bool)
-            given[np.argmin(fill)] = True
-            order = np.argsort(bins, kind="stable")
-            ends = np.cumsum(lengths[order])
-            starts = ends - lengths[order]
-            first = np.searchsorted(bins[order], bins[order], "left")
-            offset = np.empty(len(bins), np.int64)
-            offset[order] = starts - starts[first]
-            return frame.assign(bin=bins, offset=offset, again=False if last else given[bins])
-
-        # drawn by the row's place in the kept table, so that repeated rows part too
-        drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)).cast("int")
-        packed = keep(left.withColumn("part", drawn).groupBy("part").applyInPandas(one, schema), f"pack{turn}")
-        number = F.lit(turn).cast("long") * F.lit(1 << 58) + F.col("part").cast("long") * F.lit(1 << 26) + F.col("bin")
-        done.append(packed.where("NOT again").select(*spread, number.alias("sequence_id"), "offset"))
-        left = packed.where("again").select(*spread)
-        if last or not (counted := left.count()):
-            break
+    schema = ", ".join(f"{c} {t}" for c, t in zip(columns, (t for _, t in items.dtypes), strict=True)) + ", _part int, _bin long, _offset long, _again boolean, _bins long, _bound long, _given long"
+    while counted:
+        parts = -(-counted // per_part)
+        last, slack = parts == 1, capacity * SLACK * 2**turn
+
+        # dealt in order of length, so that each partition gets short and long pieces alike
+        draw = F.xxhash64(*columns, F.lit(turn))
+        dealt = left.withColumn("_draw", draw).repartitionByRange("length", "_draw").sortWithinPartitions("length", "_draw")
+        part = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
+        made = keep(dealt.select(*spread, part.alias("_part")).groupBy("_part").applyInPandas(_packer(capacity, slack, last), schema), f"pack{turn}")
+        number = F.lit(turn).cast("long") * F.lit(1 << 58) + F.col("_part").cast("long") * F.lit(1 << 26) + F.col("_bin")
+        done.append(made.where("NOT _again").select(*spread, number.alias("sequence_id"), F.col("_offset").alias("offset")))
+        reports.append(made.groupBy("_part").agg(*[F.first(f"_{c}").alias(c) for c in ("bins", "bound", "given")]).select(F.lit(turn).alias("round"), F.col("_part").alias("part"), "bins", "bound", "given"))
+        left, turn = made.where("_again").select(*spread), turn + 1
+        counted = 0 if last else left.count()
     # each full piece is a sequence: numbers below 0, from its place among its partition's rows
     out = full.select(*spread, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    for more in done:
-        out = out.unionByName(more)
-    return out
+    certificates = items.sparkSession.createDataFrame([], "round int, part int, bins long, bound long, given long")
+    for more, report in zip(done, reports, strict=True):
+        out, certificates = out.unionByName(more), certificates.union(report)
+    return out, certificates
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, per_part: int = ITEMS) -> DataFrame:
+    """packed() without the certificates."""
+    return packed(items, capacity, per_part)[0]
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
