@@ -205,16 +205,14 @@ def _across(asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return held.groupBy("home", "block", "chunk").cogroup(queries.groupBy("to", "to_block", "to_chunk")).applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def _ask(cells: DataFrame, percent: int) -> DataFrame:
-    """(d, home, block): the blocks each set asks. cells: (token, d, low, n, home, block, class), written.
+def _ask(cells: DataFrame, rows: int, percent: int) -> DataFrame:
+    """(d, home, block): the blocks each set asks. cells: (token, d, low, n, home, block, class, size), written.
 
-    Of two classes that share a token, the sets of the one with fewer rows here ask the blocks that hold the token in
-    the other, if their sizes can link. A set is not sent to its own block, which has compared it.
+    Of two classes that share a token, the sets of the smaller one ask the blocks that hold the token in the other, if
+    their sizes can link. A set is not sent to its own block, which has compared it.
     """
-    several = cells.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high").select("token", "rows")
-    apart = keep(join_hot(cells, several, ["token"], "rows", max(1, cells.count())), "apart")
-    sizes = apart.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
-    apart = keep(join_hot(apart, sizes, ["class"], "size", max(1, apart.count())), "apart")
+    several = cells.groupBy("token").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.count(F.lit(1)).alias("rows")).where("first <> last").select("token", "rows")
+    apart = keep(join_hot(cells, several, ["token"], "rows", max(1, rows)), "apart")
     held = apart.groupBy("token", "class", "size", "home", "block").agg(F.min("low").alias("least"), F.max("n").alias("most"))
     held = held.select("token", F.struct("size", "class").alias("to_rank"), F.col("home").alias("to_home"), F.col("block").alias("to_block"), "least", "most")
     met = apart.join(held, "token").where((F.struct("size", "class") < F.col("to_rank")) & ((F.col("home") != F.col("to_home")) | (F.col("block") != F.col("to_block"))))
@@ -240,7 +238,8 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     looked = keep(ranked.where("place <= p - (k - m)").select("token", "d", "low", "n"), "looked")
     drop(often)
     shared = keep(looked.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "shared")
-    many = keep(join_hot(looked, shared, ["token"], "rows", max(1, looked.count())), "many")
+    met = looked.count()
+    many = keep(join_hot(looked, shared, ["token"], "rows", max(1, met)), "many")
     drop(looked)
 
     # 3. groups and their blocks
@@ -248,7 +247,7 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     homes = keep(owned.select("d", "n", F.array_min(F.transform(F.filter("own", lambda x: 2 * x["rows"] >= F.array_max("own.rows")), lambda x: x["token"])).alias("home")), "homes")
     room = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / VOLUME)).cast("int")
     groups = homes.groupBy("home").agg(room.alias("blocks"), F.count(F.lit(1)).alias("rows"))
-    homes = keep(join_hot(homes, keep(groups, "groups"), ["home"], "rows", max(1, homes.count())).select("d", "n", "home", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int").alias("block")), "homes")
+    homes = keep(join_hot(homes, groups, ["home"], "rows", max(1, homes.count())).select("d", "n", "home", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int").alias("block")), "homes")
     texts = docs.select(F.col("doc_id").alias("d"), "text").join(homes.select("d", "home", "block"), "d")
     members = keep(_tokens(texts, words), "members")
 
@@ -256,16 +255,16 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     inner = keep(_within(members, percent), "classes")
     links = inner.select(F.col("d").alias("a"), F.col("class").alias("b"))
     # 5. other blocks: one set a class, then all that still meet another class
-    joined = components(links)
+    named, rest = inner, inner.where("d = class").select("d").distinct()
     for turn in range(2):
-        of = homes.join(joined.select(F.col("id").alias("d"), F.col("component").alias("class")), "d", "left").select("d", "home", "block", F.coalesce("class", "d").alias("class"))
-        if turn == 0:
-            of = of.join(inner.where("d = class").select("d").distinct(), "d", "left_semi")
-        cells = keep(many.select("token", "d", "low", "n").join(of, "d"), "cells")
-        found = keep(_across(keep(_ask(cells, percent), "asked"), members, percent), "links")
+        of = homes.join(named, "d", "left").groupBy("d", "home", "block").agg(F.coalesce(F.min("class"), F.col("d")).alias("class"))
+        of = of.join(of.groupBy("class").agg(F.count(F.lit(1)).alias("size")), "class")
+        cells = keep(many.select("token", "d", "low", "n").join(of if turn else of.join(rest, "d", "left_semi"), "d"), "cells")
+        found = keep(_across(keep(_ask(cells, met, percent), "asked"), members, percent), "links")
         drop(cells)
         links = links.union(found)
-        joined = components(links)
+        if turn == 0:
+            named = components(links).select(F.col("id").alias("d"), F.col("component").alias("class"))
     found = components(links.union(copies.select("doc_id", "node")))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
