@@ -99,44 +99,116 @@ def test_base_score_and_held_out(spark, folder, rows):
         assert abs(r.base_score - sum(math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own)) < 1e-6 and r.score < 0
 
 
+def _language_model(seed=0):
+    """A code of 40 words and texts over it, some words rarer or unknown, with the cells of their own sightings."""
+    import pandas as pd
+
+    r = random.Random(seed)
+    names = [f"w{i}" for i in range(40)] + [f"rare{i}" for i in range(5)] + [f"new{chr(97 + i)}" for i in range(6)]
+    found = pd.DataFrame({"code": range(51), "word": names, "leaf": [*range(40), *[np.nan] * 11], "c": [*range(60, 20, -1), *[2] * 5, *[0] * 6]})
+    code = lmscore.WordCode(list(range(60, 20, -1)), 10, 5, 12, [i % 7 for i in range(256)])
+    texts = [np.array([min(50, int(r.expovariate(0.1))) for _ in range(n)], np.int32) for n in (0, 1, 70, 300, 5, 130)]
+    own = lmscore.Texts(code, found, False)
+    counts = sum(events.sightings() for _, events, *_ in own.groups(texts[3:]))
+    mixer = lmscore.Mixer()
+    mixer.weights += np.random.default_rng(seed).normal(0, 0.05, mixer.weights.shape)
+    return texts, own, counts, mixer
+
+
+def _bit_by_bit(text, own, counts, mixer):
+    """The bits of one text, one bit after the other: sightings in the text are counted at once, weights after each block."""
+    code, cost, local = own.code, 0.0, collections.Counter()
+    weights, refined, waiting = mixer.weights.copy(), mixer.refined.copy(), []
+    start, half = len(code.offsets), lmscore.LEVELS // 2
+    leaves = [start, start, *own.leaf[text].tolist(), code.end]
+    stretch = lambda z, o: min(8.0, max(-8.0, math.log((o + lmscore.DELTA) / (z + lmscore.DELTA))))
+
+    def bit_of(x, gate, bit):
+        nonlocal cost
+        dot = float(np.dot(weights[gate], x))
+        mixed = 1 / (1 + math.exp(-max(-12, min(12, dot))))
+        level = int(np.clip(np.rint(dot * half / lmscore.LIMIT), -half, half)) + half
+        zero, one = refined[gate, level]
+        p = min(1 - 1e-5, max(1e-5, (mixed + one / (zero + one)) / 2))
+        cost -= math.log2(p if bit else 1 - p)
+        waiting.append((gate, level, bit, (bit - mixed) * np.array(x)))
+
+    def cells(kind, node, *context):
+        at = int(lmscore.slot(kind, np.array([node]), *(np.array([c]) for c in context))[0])
+        return int(counts[2 * at]), int(counts[2 * at + 1])
+
+    for i, leaf in enumerate(leaves[2:]):
+        if i and i % lmscore.STEP == 0:
+            n = collections.Counter(g for g, *_ in waiting)
+            for gate, level, bit, step in waiting:
+                weights[gate] += lmscore.RATE / math.sqrt(n[gate]) * step
+                refined[gate, level, bit] += 1
+            waiting.clear()
+        for depth, at in enumerate(range(code.offsets[leaf], code.offsets[leaf + 1])):
+            node, bit = int(code.nodes[at]), int(code.bits[at])
+            one, two = cells(1, node, leaves[i + 1]), cells(2, node, leaves[i + 1], leaves[i])
+            here = local[node, 0] + local[node, 1]
+            gate = (min(depth, 5) * 3 + (here > 0) + (here > 3)) * 3 + (sum(one) > 0) + (sum(one) > 7)
+            bit_of([code.stretched[node], stretch(*one), stretch(*two), stretch(local[node, 0], local[node, 1]), 0.3], gate, bit)
+            local[node, bit] += 1
+        if leaf == code.unknown:
+            data = own.words[text[i]] + b"\0"
+            for k, byte in enumerate(data):
+                past = [data[k - j] if k >= j else 0 for j in (1, 2, 3)]
+                for depth, at in enumerate(range(code.letters.offsets[byte], code.letters.offsets[byte + 1])):
+                    node, bit = int(code.letters.nodes[at]), int(code.letters.bits[at])
+                    seen = [cells(3 + j, node, *past[:j]) for j in range(4)]
+                    gate = lmscore.WORD_GATES + min(depth, 7) * 3 + (sum(seen[3]) > 0) + (sum(seen[3]) > 3)
+                    bit_of([*(stretch(*c) for c in seen), 0.3], gate, bit)
+    return cost
+
+
+def test_mixing_is_that_of_one_bit_after_the_other(monkeypatch):
+    texts, own, counts, mixer = _language_model()
+    got = lmscore.score(texts, own, lmscore.Cells(counts), mixer)[0]
+    assert np.allclose(got, [_bit_by_bit(x, own, counts, mixer) for x in texts], rtol=1e-5)
+    monkeypatch.setattr(lmscore, "SLICE", 2 * lmscore.STEP)
+    assert np.allclose(lmscore.score(texts, own, lmscore.Cells(counts), mixer)[0], got, rtol=1e-5)
+
+
 def test_bits_are_a_distribution():
-    """Over all values of one more byte, probabilities sum to one."""
-    counts, mixer = np.random.default_rng(0).integers(0, 9, (len(lmscore.ORDERS), 2, lmscore.SLOTS)).astype(np.float32), lmscore.Mixer()
-    first = lmscore.score([b"ab"], counts, mixer)[0]
-    each = np.array([lmscore.score([b"ab" + bytes([b])], counts, mixer)[0] for b in range(256)])
-    assert abs((2.0 ** (first - each)).sum() - 1) < 1e-9
-    many = sorted({b"ab", b"abc", b"b", b"ba", b"x" * 60})
-    assert np.allclose(lmscore.score(many, counts, mixer), [lmscore.score([x], counts, mixer)[0] for x in many])
-
-
-def test_context_counts_are_exact_over_buckets(spark):
-    """More nodes than the fixed tables had slots, cut into buckets: each bit's counts are those of all learned segments."""
-    import pyarrow as pa
-
-    r = random.Random(2)
-    words = sorted({bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 30))) for _ in range(5_000)})
-    rows = [(bytearray(x), i % 3) for i, x in enumerate(words)]
-    segments = lmscore.bucketed(spark.createDataFrame(rows, "segment binary, n long"), 1500)
-    counts = lmscore.shared_counts(segments).toPandas()
-    parts, whose, which = lmscore.parts_of(words)
-    n = np.bincount(which, np.array([x[1] for x in rows])[whose], len(parts))
-    true, nodes = collections.Counter(), set()
-    whole = lmscore.Cells(parts)
-    for position, node, bit in lmscore.bits_of(whole):
-        for context in whole.contexts:
-            nodes.update(zip(context.tolist(), node.tolist(), strict=True))
-            for key in zip(context.tolist(), node.tolist(), bit.tolist(), whole.totals(n).tolist(), strict=True):
-                true[key[:3]] += key[3]
-    assert len(nodes) > lmscore.SLOTS
-    held = segments.toPandas()
-    assert held.bucket.nunique() > 2
-    for number, own in held.groupby("bucket"):
-        bucket = lmscore.Bucket(pa.table({"segment": list(map(bytes, own.segment)), "n": own.n.to_numpy()}))
-        found = bucket.counts(pa.Table.from_pandas(counts[counts.bucket == number], preserve_index=False))
-        for position, node, _ in lmscore.bits_of(bucket.cells):
-            for k, context in enumerate(bucket.cells.contexts):
-                for bit, got in enumerate(found.bits(k, position)):
-                    assert got.tolist() == [true[c, x, bit] for c, x in zip(context.tolist(), node.tolist(), strict=True)]
+    """Over all words of the tree that may come next, probabilities sum to one; the order of words counts."""
+    texts, own, counts, mixer = _language_model()
+    cells, past = lmscore.Cells(counts), texts[2]
+    price = lambda x: lmscore.score([np.array(x, np.int32)], own, cells, mixer)[0][0]
+    known = list(range(41))  # a rarer word stands for all of them
+    assert 0.5 < sum(2.0 ** (price([*past[:9]]) - price([*past[:9], i])) * 2.0 ** (_end_cost(own, cells, mixer, [*past[:9], i]) - _end_cost(own, cells, mixer, [*past[:9]])) for i in known) < 1
+    assert abs(price(past) - price(past[::-1])) > 1e-3
+
+
+def _end_cost(own, cells, mixer, text):
+    """Bits of the end after text."""
+    code = own.code
+    group = own._events([(0, 0, len(text) + 1)], [np.array(text, np.int32)])
+    events = group[1]
+    zero, one = lmscore._earlier(events.node, events.bit[: events.words])
+    x, gate = lmscore.inputs(events, code, cells, zero, one, False)
+    n = code.offsets[code.end + 1] - code.offsets[code.end]
+    own_bits = slice(events.words - n, events.words)
+    dot = (mixer.weights[gate[own_bits]] * x[:, own_bits].T).sum(axis=1)
+    level = np.clip(np.rint(dot * (lmscore.LEVELS // 2) / lmscore.LIMIT), -8, 8).astype(int) + lmscore.LEVELS // 2
+    held = mixer.refined[gate[own_bits], level]
+    p = (lmscore.squash(dot) + held[:, 1] / held.sum(axis=1)) / 2
+    return -np.log2(np.where(events.bit[own_bits] == 1, p, 1 - p)).sum()
+
+
+def test_cells_are_summed_over_blocks(spark, monkeypatch):
+    import zlib as z
+
+    import pandas as pd
+
+    monkeypatch.setattr(lmscore, "FAN", 3)
+    rng = np.random.default_rng(1)
+    data = [rng.integers(0, 9, 64) for _ in range(20)]
+    rows = pd.DataFrame({"part": range(10), "slice": 0, "data": [z.compress(x.tobytes()) for x in data[:10]]})
+    both = pd.concat([rows, rows.assign(slice=1, data=[z.compress(x.tobytes()) for x in data[10:]])])
+    got = {r.slice: np.frombuffer(z.decompress(bytes(r.data)), np.int64) for r in lmscore._summed(spark.createDataFrame(both, "part int, slice int, data binary")).collect()}
+    assert (got[0] == sum(data[:10])).all() and (got[1] == sum(data[10:])).all()
 
 
 def test_learning_pays(spark):
@@ -146,7 +218,7 @@ def test_learning_pays(spark):
 
     taught = lmscore.score_documents(docs, F.col("doc_id") > 3).where("doc_id = 0").first()
     blank = lmscore.score_documents(docs, F.lit(False)).where("doc_id = 0").first()
-    assert taught.bits_per_byte < 2 < 7 < blank.bits_per_byte < 9
+    assert taught.bits_per_byte < 2 < blank.bits_per_byte < 9
 
 
 def test_forward_sums_all_segmentations():
