@@ -241,6 +241,64 @@ def test_forward_sums_all_segmentations():
     assert np.allclose((uses * lengths[:, None]).sum(axis=0), 5)
 
 
+def test_words_of_any_length_and_unknown_characters():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    voc, model = langid.vocabulary(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    table = np.random.default_rng(1).random((voc.size, 3)) / voc.size
+    plain = {model.id_to_piece(i): i for i in range(voc.size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+
+    def brute(word):
+        """Log of the sum over segmentations, with exact integers: each weight is a multiple of 2 ** -200."""
+        from fractions import Fraction
+
+        x, out = "▁" + word, []
+        for lang in range(3):
+            way = [Fraction(1)] + [Fraction(0)] * len(x)
+            for end in range(1, len(x) + 1):
+                for start in range(end):
+                    if x[start:end] in plain:
+                        way[end] += way[start] * Fraction(table[plain[x[start:end]], lang])
+                    elif end == start + 1:
+                        weight = Fraction(1)
+                        for b in x[start].encode():
+                            weight *= Fraction(table[voc.bytes[b], lang])
+                        way[end] += way[start] * weight
+            out.append(math.log(way[-1].numerator) - math.log(way[-1].denominator))
+        return out
+
+    odd = ["donaudampfschifffahrtsgesellschaftskapitän"[:40], "\u0f40\u0f41\u0f42\u0f44\u0f45\u0f46\u0f47\u0f49" * 3, "x\u0f40y", "ab" * 30]
+    got = langid.forward([*odd, "haus"], table, voc)
+    assert np.allclose(got[:4], [brute(x) for x in odd]) and np.isfinite(got).all()
+    uses = langid.expected(odd[1:2], table, voc, np.ones((1, 3)))
+    assert np.allclose(uses.sum(axis=0), 1 + sum(1 if c in plain else 3 for c in odd[1]))  # bytes of characters that are no piece, and the start mark
+    one, both = (langid.expected(x, table, voc, np.ones((len(x), 3))) for x in (["haus"], ["haus", odd[0]]))
+    apart = langid.expected([odd[0]], table, voc, np.ones((1, 3)))
+    assert np.allclose(one + apart, both)
+
+
+def test_predictions_and_rounds(spark, docs):
+    """Predictions are the largest sums of forward; each round of learning raises the likelihood."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    voc, learned = langid.vocabulary(path), docs.where("lang IS NOT NULL AND doc_id < 40")
+    held, likelihood = [(r.text, r.lang) for r in learned.collect() if r.text], []
+    for rounds in (1, 2, 3):
+        model = langid.train(learned, path, rounds)
+        logs = [langid.forward((t.split() or [""]), model.table, voc).sum(axis=0)[model.langs.index(x)] if t.split() else 0 for t, x in held]
+        likelihood.append(sum(logs))
+    assert likelihood[0] < likelihood[1] <= likelihood[2] + 1e-6 * abs(likelihood[2])
+    got = {r.doc_id: r for r in langid.predict(docs, model, path).collect()}
+    for r in docs.collect():
+        if r.text and any(map(str.isalpha, r.text)):
+            total = langid.forward(r.text.split(), model.table, voc).sum(axis=0)
+            share = np.exp(total - total.max())
+            assert got[r.doc_id].lang_pred == model.langs[int(total.argmax())] and abs(got[r.doc_id].score - 1 / share.sum()) < 1e-9
+
+
 def test_languages(spark, folder, rows):
     got = {r.doc_id: r for r in run(spark, folder, "op3_")}
     assert len(got) == len(rows)

@@ -1,10 +1,11 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability in a language
-is the sum over all ways to segment it into pieces, by the forward algorithm; a text's is the product over its
-words, because pieces of this vocabulary never cross white space. Probabilities are learned by expectation and
-maximisation from word counts a language: expected piece counts are made where the words are, and summed by
-piece and language.
+is the sum over all ways to segment it into pieces, by the forward algorithm, whatever the word's length; a text's is
+the product over its words, because pieces of this vocabulary never cross white space. A character that is no piece is
+the product of its byte pieces. Words that are long or hold such characters are summed in log space, one position
+after the other. Probabilities are learned by ROUNDS of expectation and maximisation from word counts a language:
+expected piece counts are made where the words are, and summed by piece and language.
 
 Data sizes: word counts are combined on the map side and shuffled by word; what is sent to the driver and broadcast
 is one number a piece and learned language, bounded by the vocabulary times MOST_LANGUAGES (more are an error).
@@ -25,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, keep
 
-MOST_LANGUAGES, CACHE_SIZE, FLUSH, BLOCK, LONGEST, SMOOTH = 200, 200_000, 200_000, 4096, 24, 0.1
+#: A cache holds CACHE_SIZE words, or fewer where many languages make it CACHE_CELLS numbers.
+MOST_LANGUAGES, CACHE_SIZE, CACHE_CELLS, FLUSH, BLOCK, LONGEST, SMOOTH, ROUNDS = 200, 600_000, 8_000_000, 200_000, 4096, 24, 0.1, 2
 #: Substrings are looked up by a polynomial hash modulo 2^64.
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,6 +53,7 @@ class Vocabulary:
         self.size = size
         self.bytes = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.longest = max(map(len, texts))
+        self.letters = frozenset(x for x in texts if len(x) == 1)
         hashes = _spread(np.array([self.hash_one(x) for x in texts], np.uint64))
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(plain)[order]
@@ -89,7 +92,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def lattice(words: list[str], voc: Vocabulary) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
-    """Lengths of the words with their start mark, and the edges (from, to, rows, piece ids) in order of their ends."""
+    """Lengths of plain words with their start mark, and the edges (from, to, rows, piece ids) in order of their starts."""
     marked = ["▁" + w for w in words]
     lengths = np.array([len(w) for w in marked])
     width = int(lengths.max())
@@ -106,65 +109,111 @@ def lattice(words: list[str], voc: Vocabulary) -> tuple[np.ndarray, list[tuple[i
             h = h * _P + points[live, end] + np.uint64(1)
             ids = voc.find(h)
             hit = ids >= 0
-            if end == start and not hit.all():
-                # an unknown character: the product of its byte pieces, marked by minus its code point
-                odd = np.where(hit, ids, -points[live, end].astype(np.int64) - 2)
-                edges.append((start, end + 1, live, odd))
-            elif hit.any():
+            if hit.any():
                 edges.append((start, end + 1, live[hit], ids[hit]))
     return lengths, edges
 
 
-def _weights(ids: np.ndarray, table: np.ndarray, voc: Vocabulary) -> np.ndarray:
-    if (ids >= 0).all():
-        return table[ids]
-    out = table[np.maximum(ids, 0)].copy()
-    for i in np.flatnonzero(ids < 0):
-        code = -int(ids[i]) - 2
-        raw = chr(code).encode("utf-8", "surrogatepass")
-        out[i] = np.prod(table[voc.bytes[list(raw)]], axis=0)
-    return out
+def plain(word: str, voc: Vocabulary) -> bool:
+    """Whether no segmentation of the word can be too unlikely for a float: it is short, and all its characters are pieces."""
+    return len(word) <= LONGEST and voc.letters.issuperset(word)
 
 
 def forward(words: list[str], table: np.ndarray, voc: Vocabulary) -> np.ndarray:
-    """Natural log of the summed probability of all segmentations, a row a word and a column a language. Words up to LONGEST."""
-    lengths, edges = lattice(words, voc)
-    alpha = np.zeros((int(lengths.max()) + 1, len(words), table.shape[1]))
-    alpha[0] = 1
-    for start, end, rows, ids in edges:  # all edges into a position come before those out of it
-        alpha[end, rows] += alpha[start, rows] * _weights(ids, table, voc)
-    return np.log(np.maximum(alpha[lengths, np.arange(len(words))], 1e-300))
+    """Natural log of the summed probability of all segmentations, a row a word and a column a language. Words of any length."""
+    out = np.empty((len(words), table.shape[1]))
+    short = [i for i, x in enumerate(words) if plain(x, voc)]
+    for low in range(0, len(short), 1024):
+        own = short[low : low + 1024]
+        lengths, edges = lattice([words[i] for i in own], voc)
+        alpha = np.zeros((int(lengths.max()) + 1, len(own), table.shape[1]))
+        alpha[0] = 1
+        for start, end, rows, ids in edges:  # all edges into a position come before those out of it
+            alpha[end, rows] += alpha[start, rows] * table[ids]
+        out[own] = np.log(alpha[lengths, np.arange(len(own))])
+    if len(short) < len(words):
+        logs = np.log(table)
+        for i in set(range(len(words))).difference(short):
+            out[i] = scan(*steps(words[i], voc), logs, voc)[-1]
+    return out
+
+
+def steps(word: str, voc: Vocabulary) -> tuple[int, list[list[tuple[int, int]]]]:
+    """The length of a word with its start mark, and for each end the edges (start, piece id) into it; unknown characters as in lattice."""
+    points = np.frombuffer(("▁" + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    into: list[list[tuple[int, int]]] = [[] for _ in range(len(points) + 1)]
+    h = np.zeros(len(points), np.uint64)
+    for size in range(1, min(voc.longest, len(points)) + 1):
+        h = h[: len(points) - size + 1] * _P + points[size - 1 :] + np.uint64(1)
+        ids = voc.find(h)
+        for start in np.flatnonzero(ids >= 0).tolist():
+            into[start + size].append((start, int(ids[start])))
+        if size == 1:
+            for start in np.flatnonzero(ids < 0).tolist():
+                into[start + 1].append((start, -int(points[start]) - 2))
+    return len(points), into
+
+
+def _step(ids: list[int], logs: np.ndarray, voc: Vocabulary) -> np.ndarray:
+    """Log weights of edges, a row each."""
+    out = logs[np.maximum(ids, 0)]
+    for i, x in enumerate(ids):
+        if x < 0:
+            out[i] = logs[voc.bytes[list(chr(-x - 2).encode("utf-8", "surrogatepass"))]].sum(axis=0)
+    return out
+
+
+def scan(length: int, into: list[list[tuple[int, int]]], logs: np.ndarray, voc: Vocabulary) -> np.ndarray:
+    """Log of the summed probability of all segmentations up to each position, in log space."""
+    alpha = np.zeros((length + 1, logs.shape[1]))
+    for end in range(1, length + 1):
+        start, ids = zip(*into[end], strict=True)
+        alpha[end] = np.logaddexp.reduce(alpha[list(start)] + _step(ids, logs, voc), axis=0)
+    return alpha
+
+
+def scanned_uses(word: str, logs: np.ndarray, voc: Vocabulary, counts: np.ndarray, out: np.ndarray) -> None:
+    """Adds to out the expected uses of each piece in counts sightings of the word, in log space."""
+    length, into = steps(word, voc)
+    alpha = scan(length, into, logs, voc)
+    beta = np.full(alpha.shape, -np.inf)
+    beta[length] = 0
+    for end in range(length, 0, -1):
+        start, ids = zip(*into[end], strict=True)
+        ways = _step(ids, logs, voc) + beta[end]
+        for k, (at, i) in enumerate(zip(start, ids, strict=True)):
+            beta[at] = np.logaddexp(beta[at], ways[k])
+            uses = np.exp(alpha[at] + ways[k] - alpha[length]) * counts
+            for piece in [i] if i >= 0 else voc.bytes[list(chr(-i - 2).encode("utf-8", "surrogatepass"))]:
+                out[piece] += uses
 
 
 def expected(words: list[str], table: np.ndarray, voc: Vocabulary, counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, a column a language, from counts (a row a word) under table."""
-    lengths, edges = lattice(words, voc)
-    n, width = len(words), int(lengths.max())
+    """Expected uses of each piece, a column a language, from counts (a row a word) under table. Words of any length."""
+    out = np.zeros((voc.size, table.shape[1]))
+    short = [i for i, x in enumerate(words) if plain(x, voc)]
+    if len(short) < len(words):
+        logs = np.log(table)
+        for i in set(range(len(words))).difference(short):
+            scanned_uses(words[i], logs, voc, counts[i], out)
+    if not short:
+        return out
+    lengths, edges = lattice([words[i] for i in short], voc)
+    n, width = len(short), int(lengths.max())
     alpha, beta = np.zeros((width + 1, n, table.shape[1])), np.zeros((width + 1, n, table.shape[1]))
     alpha[0] = 1
     beta[lengths, np.arange(n)] = 1
-    weights = [_weights(ids, table, voc) for *_, ids in edges]
+    weights = [table[ids] for *_, ids in edges]
     for (start, end, rows, _), w in zip(edges, weights, strict=True):
         alpha[end, rows] += alpha[start, rows] * w
     for (start, end, rows, _), w in zip(reversed(edges), reversed(weights), strict=True):
         beta[start, rows] += beta[end, rows] * w
-    scale = counts / np.maximum(beta[0], 1e-300)
-    out = np.zeros((voc.size, table.shape[1]))
+    scale = counts[short] / beta[0]
     for (start, end, rows, ids), w in zip(edges, weights, strict=True):
-        uses = alpha[start, rows] * w * beta[end, rows] * scale[rows]
-        good = ids >= 0
-        np.add.at(out, ids[good], uses[good])
-        for i in np.flatnonzero(~good):
-            for b in chr(-int(ids[i]) - 2).encode("utf-8", "surrogatepass"):
-                out[voc.bytes[b]] += uses[i]
+        np.add.at(out, ids, alpha[start, rows] * w * beta[end, rows] * scale[rows])
     return out
 
 
-def pieces_of(word: str) -> list[str]:
-    """A word in parts of LONGEST characters at most, so that a lattice is bounded."""
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
 def _word_counts(docs: DataFrame) -> DataFrame:
     """(word, lang, n) over all texts; combined on the map side."""
 
@@ -194,8 +243,8 @@ class Model:
         self.langs, self.table = langs, table
 
 
-def train(docs: DataFrame, path: str, rounds: int = 1) -> Model:
-    """Learns from text and lang. The first round starts from equal probabilities; SMOOTH is added to every expected count."""
+def train(docs: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
+    """Learns from text and lang, in rounds of expectation and maximisation. The first starts from equal probabilities; SMOOTH is added to every expected count."""
     learned = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     langs = sorted(x.lang for x in learned.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
@@ -204,7 +253,7 @@ def train(docs: DataFrame, path: str, rounds: int = 1) -> Model:
     table = np.full((voc.size, max(1, len(langs))), 1 / voc.size)
     if not langs:
         return Model([], table)
-    counted = _word_counts(learned)
+    counted = keep(_word_counts(learned), "words")
     for _ in range(rounds):
         held = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -217,13 +266,12 @@ def train(docs: DataFrame, path: str, rounds: int = 1) -> Model:
                     place: dict[str, int] = {}
                     part = batch.slice(low, BLOCK).to_pydict()
                     for word, lang, k in zip(part["word"], part["lang"], part["n"], strict=True):
-                        for piece in pieces_of(word):
-                            at = place.setdefault(piece, len(place))
-                            if at == len(words):
-                                words.append(piece)
-                            rows.append(at)
-                            cols.append(column[lang])
-                            n.append(k)
+                        at = place.setdefault(word, len(place))
+                        if at == len(words):
+                            words.append(word)
+                        rows.append(at)
+                        cols.append(column[lang])
+                        n.append(k)
                     order = sorted(range(len(words)), key=lambda i: len(words[i]))
                     counts = np.zeros((len(words), len(langs)))
                     np.add.at(counts, (rows, cols), n)
@@ -248,22 +296,19 @@ class Scores:
 
     def __init__(self, model: Model, path: str):
         self.model, self.voc, self.at = model, vocabulary(path), {}
+        self.most = min(CACHE_SIZE, CACHE_CELLS // max(1, len(model.langs)))
         self.rows = np.empty((0, len(model.langs)))
 
     def add(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > CACHE_SIZE:
-            self.at, self.rows = {}, np.empty((0, len(self.model.langs)))
+        if len(self.at) + len(words) > self.most:
+            self.at = {}
         todo = sorted((w for w in words if w not in self.at), key=len)
-        if not todo:
-            return
-        short = [w for w in todo if len(w) <= LONGEST]
-        out = [forward(short[i : i + 1024], self.model.table, self.voc) for i in range(0, len(short), 1024)]
-        for w in todo[len(short) :]:
-            parts = pieces_of(w)
-            out.append(sum(forward(parts[i : i + 256], self.model.table, self.voc).sum(axis=0, keepdims=True) for i in range(0, len(parts), 256)))
-        base = len(self.rows)
-        self.rows = np.concatenate([self.rows, *out])
-        self.at.update((w, base + i) for i, w in enumerate(todo))
+        low, high = len(self.at), len(self.at) + len(todo)
+        if high > len(self.rows):
+            self.rows = np.concatenate([self.rows[:low], np.empty((max(2 * low, high) - low, self.rows.shape[1]))])
+        if todo:
+            self.rows[low:high] = forward(todo, self.model.table, self.voc)
+            self.at.update(zip(todo, range(low, high), strict=True))
 
 
 def predict(docs: DataFrame, model: Model, path: str) -> DataFrame:
