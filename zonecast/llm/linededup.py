@@ -1,9 +1,10 @@
 """Line deduplication that returns a keep bitmap for each document, and no text.
 
-Lines become (key hash, document, position). They are range-partitioned by hash and a salt taken from the
+Lines become (key hash, document, position), written once. They are range-partitioned by hash and a salt taken from the
 document, and sorted within partitions by document and position. Streaming through that order, a row is a first
 occurrence if the row before it is of another document or key. First occurrences are summed a salt, then a key:
-a line that a third of all documents share is spread over the salts, and only counts of it meet.
+a line that a third of all documents share is spread over the salts, only counts of it meet, and what is decided of it
+comes back to its lines by broadcast (join_hot).
 
 A key is a line with white space stripped at both ends and A-Z lower-cased, held as its 16-byte MD5. Keys under
 min_chars code points are never dropped. With keep_first the first occurrence (lowest document, then position)
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import STRIPPED, documents, lower_ascii
+from .common import STRIPPED, documents, join_hot, keep, lower_ascii
 
 SALTS = 32
 
@@ -32,14 +33,18 @@ def key_of(line: Column) -> Column:
     return lower_ascii(F.trim(line, F.lit(STRIPPED)))
 
 
-def occurrences(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """(key, salt, doc_id, pos, first) of each line that may be dropped; first: no earlier line of its document has the key."""
-    lines = (
+def keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """(key, salt, doc_id, pos) of each line that may be dropped."""
+    return (
         docs.where("doc_id IS NOT NULL")
         .select("doc_id", F.posexplode(F.transform(lines_of(F.col("text")), key_of)).alias("pos", "line"))
         .where(F.length("line") >= max(min_chars, 1))
         .select(F.unhex(F.md5("line")).alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "pos")
     )
+
+
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """lines (keys(), written) with first: no earlier line of its document has the key."""
     dealt = lines.repartitionByRange("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "pos")
     stream = Window.partitionBy("key", "salt").orderBy("doc_id", "pos")
     return dealt.withColumn("first", F.coalesce(F.lag("doc_id").over(stream) != F.col("doc_id"), F.lit(True)))
@@ -51,12 +56,13 @@ def bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_first:
     dropped: its dropped lines as a compressed bitmap, an array of (word, bits): bit b of word w stands for line
     64 * w + b, counted from 0; words without a dropped line are left out.
     """
-    seen = occurrences(docs, min_chars)
-    common = (
-        seen.groupBy("key", "salt").agg(F.sum(F.col("first").cast("long")).alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"))
-        .groupBy("key").agg(F.sum("n").alias("n"), F.min("at").alias("at")).where(F.col("n") >= min_docs)
+    lines = keep(keys(docs, min_chars), "lines")
+    common = keep(
+        first_occurrences(lines).groupBy("key", "salt").agg(F.sum(F.col("first").cast("long")).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "pos")).alias("at"))
+        .groupBy("key").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.min("at").alias("at")).where(F.col("n") >= min_docs).select("key", "at", "rows"),
+        "common",
     )
-    lost = seen.select("key", "doc_id", "pos").join(common.select("key", "at"), "key")
+    lost = join_hot(lines.select("key", "doc_id", "pos"), common, ["key"], "rows", max(1, lines.count()))
     if keep_first:
         lost = lost.where(F.struct("doc_id", "pos") != F.col("at"))
     # dealt by document once: both sums and a later join by doc_id stay where the rows are
