@@ -5,8 +5,8 @@ they stand. Equal chunks get one identifier, the SHA-256 of the chunk, verified
 chunks that share it; where chunks of differing bytes share a digest, their bytes are the identifier. A document's recipe is its
 ordered list of identifiers, and only recipes are compared: a long document is never moved as a whole.
 
-Skew: a chunk or recipe that a third of all rows share is first combined on the map side (one row a task); the
-join back to documents carries narrow rows that Spark's skew join can split.
+Skew: a chunk or recipe that a third of all rows share is first combined on the map side (one row a task), and its
+group comes back to the rows by broadcast (join_hot).
 
 Equality is of texts with A-Z lower-cased and null as empty: null and empty texts form one group. Of a group the
 largest doc_id stays (ties: one id). Rows with a null doc_id get kept = null as they name no row; their group
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep, lower_ascii
+from .common import documents, join_hot, keep, lower_ascii
 
 #: A cut needs 11 clear bits, about one byte in 2,048, and 256 bytes at least; the hash is of the last 16 bytes.
 WINDOW, MASK, SHORTEST, LONGEST = 16, (1 << 11) - 1, 256, 65_536
@@ -107,8 +107,8 @@ def recipes(docs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of each row."""
     rows = keep(recipes(docs), "recipes")
-    same = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = rows.join(same, "recipe")
+    same = keep(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    joined = join_hot(rows, same, ["recipe"], "group_size", max(1, rows.count()))
     return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
