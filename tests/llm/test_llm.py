@@ -78,6 +78,40 @@ def test_base_counts(spark, folder, rows):
         assert r.base_failed == (len(w) < 50 or 100 * len(seen) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_verdicts_of_quality(spark, folder, rows):
+    """kept, recomputed: histograms of classes and common words against the sums over the other texts of the language."""
+    import regex
+
+    r = quality.QualityRules()
+    classes = [regex.compile(f"[{x}]") for x in (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"\x20\x09-\x0D", r".,;:?'\"()\-", "!", "#*$%&|<>")]
+    langs, hist = list(r.common_words), {}
+    for i, t, *_ in rows:
+        text, w = t or "", [low(x) for x in words(t)]
+        hits = [sum(x in r.common_words[lang] for x in w) for lang in langs]
+        lang = langs[hits.index(max(hits))] if max(hits) else ""
+        seen, left = [], list(text)
+        for c in classes:
+            seen.append(sum(c.fullmatch(x) is not None for x in left))
+            left = [x for x in left if c.fullmatch(x) is None]
+        common = [w.count(x) for x in r.common_words[lang]] if lang else [0]
+        hist[i] = lang, [*seen, len(left)], [*common, len(w) - sum(common)], len(text), len(w)
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return 0.0
+        p, q = np.array(p) / sum(p), np.array(q) / sum(q)
+        part = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
+        return math.sqrt(max(0.0, part(p, q) / 2 + part(q, p) / 2))
+
+    sums = {lang: [np.sum([h[k] for h in hist.values() if h[0] == lang], axis=0) for k in (1, 2)] for lang in {h[0] for h in hist.values()}}
+    got = {x.doc_id: x for x in run(spark, folder, "op1_")}
+    for i, (lang, seen, common, n_chars, n_words) in hist.items():
+        far = n_chars >= r.min_chars_judged and distance(seen, sums[lang][0] - seen) > r.max_class_distance
+        far |= lang != "" and n_words >= r.min_words_judged and distance(common, sums[lang][1] - common) > r.max_word_distance
+        assert got[i].kept == (not got[i].base_failed and not far), i
+    assert len({x.kept for x in got.values()}) == 2
+
+
 def test_distance_of_same_and_apart(spark):
     from pyspark.sql import functions as F
 
@@ -427,6 +461,23 @@ def test_mix(spark, folder, rows):
     assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 5 for s in order) and got and sorted(got) == sorted(run(spark, folder, "op7_"))
 
 
+def test_newton_meets_constraints_that_interact(spark):
+    """Source and language targets at once: both margins are met, by rates that are a product of one factor each."""
+    sizes = [[40, 10, 0], [5, 30, 20], [7, 9, 50]]
+    sources, langs = {"a": 90, "b": 60, None: 21}, {"x": 70, "y": 60, "z": 41}
+    rows = [(s, l, sizes[i][j], float(sources[s]), float(langs[l])) for i, s in enumerate(sources) for j, l in enumerate(langs) if sizes[i][j]]
+    cells = spark.createDataFrame(rows, "source string, lang string, size long, source_target double, lang_target double")
+    got = {(r.source, r.lang): r for r in mixing.balanced(cells, ["source", "lang"]).collect()}
+    for name, want in (("source", sources), ("lang", langs)):
+        for value, target in want.items():
+            assert abs(sum(r["size"] * r.rate for r in got.values() if r[name] == value) - target) < 1e-6 * target
+    rate = {k: r.rate for k, r in got.items()}
+    assert abs(rate["b", "x"] * rate[None, "y"] / (rate["b", "y"] * rate[None, "x"]) - 1) < 1e-9
+    assert abs(rate["b", "y"] * rate[None, "z"] / (rate["b", "z"] * rate[None, "y"]) - 1) < 1e-9
+    one = mixing.balanced(cells.select("source", "lang", "size", "source_target"), ["source"]).collect()
+    assert all(abs(sum(r["size"] * r.rate for r in one if r.source == s) - t) < 1e-6 * t for s, t in sources.items())
+
+
 def test_token_counts(spark, folder, rows):
     import public_tokenizers
     from tokenizers import Tokenizer

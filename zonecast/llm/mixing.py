@@ -2,8 +2,9 @@
 
 Sizes of documents are words. Each source has a target, and document rates are the exponentially tilted weights
 exp(lambda of the source) that meet all targets: the dual, sum of size * exp(lambda) less lambda * target, is
-convex, and Newton's steps on it run on the source sums, which one distributed aggregation gathers. Rates are
-rounded into copies: every document is taken floor(rate) times, and the fraction is met by taking whole
+convex, and Newton's iterations solve it (balanced(), which takes several families of constraints, such as source and
+language). Documents of one cell have one rate, so one aggregation over documents gathers the cells, and each
+iteration is an aggregation over cells. Rates are rounded into copies: every document is taken floor(rate) times, and the fraction is met by taking whole
 documents once more, in an order drawn by hash, until the source's rest is used up as nearly as may be.
 
 Nothing passes through one task but tables of one row a source or of one row a bucket: a source of n rows, a third of
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, keep
 
-NEWTON_STEPS = 64
 #: Rounds of filling a source's rest: each takes those documents that still fit.
 ROUNDS = 3
 NEAR = 0.005
@@ -54,12 +54,38 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
     return rows.select("source", F.row_number().over(ranked).alias("source_no"), "source_size", "n_docs", target.alias("target"))
 
 
+def balanced(cells: DataFrame, families: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """cells with rate: entropy balancing by Newton's iterations on the convex dual.
+
+    cells: one row for each combination of the families' values, with size (the documents' sum) and <family>_target for
+    each family. rate is exp(sum of a dual number for each family's value), and the rates' sizes meet all targets. The
+    dual's gradient is mass - target, and within a family its Hessian is the diagonal of the masses, so each step is a sum
+    over cells by family; families take turns until no mass is off its target by more than tolerance of it, or, where
+    targets contradict each other, until a turn gets no nearer. A step is at most 1 up, which keeps it from overshooting.
+    """
+    size = F.col("size").cast("double")
+    live = (size > 0) & F.lit(True)
+    for f in families:
+        live = live & (F.col(f"{f}_target") > 0)
+    cells, before = cells.withColumn("rate", F.when(live, 1.0).otherwise(0.0)), float("inf")
+    while True:
+        for f in families:
+            mass = F.sum(size * F.col("rate")).over(Window.partitionBy(f))
+            step = F.least(F.lit(1.0), F.col(f"{f}_target") / F.col("_mass") - 1)
+            cells = cells.withColumn("_mass", mass).withColumn("rate", F.when(F.col("rate") > 0, F.col("rate") * F.exp(step)).otherwise(0.0)).drop("_mass")
+        cells = keep(cells, "mix-newton")
+        off = [F.max(F.when(F.col("rate") > 0, F.abs(F.col(f"_{f}") / F.col(f"{f}_target") - 1))).alias(f) for f in families]
+        masses = cells.select("*", *[F.sum(size * F.col("rate")).over(Window.partitionBy(f)).alias(f"_{f}") for f in families])
+        now = max([x for x in masses.agg(*off).first() if x is not None], default=0.0)
+        if now <= tolerance or now >= before * (1 - 1e-3) and now < 0.1:
+            return cells
+        before = min(before, now)
+
+
 def tilted(rows: DataFrame) -> DataFrame:
-    """rows with rate: exp(lambda) after Newton's steps on the dual, from 0. Each step is at most 1 up, which keeps it from overshooting."""
-    size, target = F.col("source_size").cast("double"), F.col("target")
-    step = lambda x: x + F.least(F.lit(1.0), target / (size * F.exp(x)) - 1)
-    solved = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), lambda x, _: step(x)))
-    return rows.withColumn("rate", F.when((size > 0) & (target > 0), solved).otherwise(0.0))
+    """rows of targets() with rate: one family, so that each source is a cell."""
+    named = rows.select("*", F.col("source_size").alias("size"), F.col("target").alias("source_no_target"))
+    return balanced(named, ["source_no"]).drop("size", "source_no_target")
 
 
 _STATE = ("doc_id", "source_no", "place", "bucket", "size", "target", "whole", "rest", "more")

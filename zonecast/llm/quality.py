@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence.
 
 Every document gets two histograms: its characters by class, and its common words. Each is compared, by
-Jensen-Shannon distance (base 2), with the reference of the document's language. References are sums over all
-documents, one row a language, made from the histograms. Texts under the minimum lengths are not judged by a histogram, because short
+Jensen-Shannon distance (base 2), with the reference of the document's language. References are sums over all other
+documents of the language: the sums over all, one row a language, less the document's own counts. Texts under the minimum lengths are not judged by a histogram, because short
 samples are far from any reference by chance.
 
 Everything is a DataFrame expression over one row; the only shuffle carries the reference sums, one row a
@@ -164,8 +164,9 @@ def judge(rows: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     df = rows.join(F.broadcast(refs), F.col("language") == c("ref"), "left")
     long_words = (F.col("n_words") >= rules.min_words_judged) & (F.col("language") != "")
     width = F.size(c("word_counts"))
-    df = df.withColumn("class_distance", F.when(c("chars") >= rules.min_chars_judged, distance(c("class_counts"), c("class_reference"))))
-    df = df.withColumn("word_distance", F.when(long_words, distance(c("word_counts"), F.slice(c("word_reference"), F.lit(1), width))))
+    others = lambda all_, own: F.zip_with(all_, own, lambda a, x: a - x)
+    df = df.withColumn("class_distance", F.when(c("chars") >= rules.min_chars_judged, distance(c("class_counts"), others(c("class_reference"), c("class_counts")))))
+    df = df.withColumn("word_distance", F.when(long_words, distance(c("word_counts"), others(F.slice(c("word_reference"), F.lit(1), width), c("word_counts")))))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
     far = F.coalesce(F.col("class_distance") > rules.max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
     df = df.withColumn("kept", ~F.col("base_failed") & ~far)
