@@ -556,6 +556,30 @@ def test_pipeline(spark, folder, rows):
     assert corpus_pipeline.run(spark, folder).count() >= docs.count() > 0
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null and empty texts, and columns with the names of a stage's own."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    r = random.Random(1)
+    prose = [" ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(80)) for _ in range(6)]
+    rows = [(1, prose[0]), (1, prose[0]), (2, prose[0].upper()), (None, prose[1]), (None, prose[1]), (3, prose[2]), (3, prose[3]), (None, prose[2]), (4, None), (5, ""), (6, prose[4]), (7, prose[4] + " more")]
+    made = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).select("*", *[F.lit(1).alias(c) for c in ("_copies", "_copy", "row", "id", "sha", "times", "of", "kept", "size", "component_id")])
+    made.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    stage = dict(corpus_pipeline.STAGES)
+    once = stage["exact_dedup"](spark, docs, "")
+    key = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=str)
+    want = [(2, prose[0].upper()), (None, prose[1]), (3, prose[2]), (3, prose[3]), (5, ""), (6, prose[4]), (7, prose[4] + " more")]
+    assert once.columns == docs.columns and key(once) == sorted(want, key=str)
+    apart = stage["near_dedup"](spark, once, "")
+    assert apart.columns == docs.columns and key(apart) == sorted([x for x in want if x[0] != 7], key=str)
+    mixed, size = stage["source_mix"](spark, apart, ""), lambda df: sum(len(words(x.text)) for x in df.collect())
+    assert mixed.columns == docs.columns and size(mixed) >= 0.9 * size(apart) and {x[0] for x in key(mixed)} <= {x[0] for x in key(apart)}
+    assert stage["quality_rules"](spark, docs, "").columns == docs.columns
+    assert stage["pack_sequences"](spark, mixed, "").count() == mixed.count()
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
