@@ -40,6 +40,9 @@ SLACK = 0.0005
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that composing leaves alone and on which the libraries' classes and lower case agree.
 SAFE = r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]*"
+#: Bytes by their characters in a byte-level vocabulary: printable Latin-1 stands for itself, the others for 256 and up.
+BYTES = {chr(b): b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+BYTES |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(BYTES.values())))}
 #: Stands for the end of a pre-token; not in SAFE.
 MARK = "\x7f"
 
@@ -78,11 +81,9 @@ class WordIds(dict):
 
     @staticmethod
     def bytes_of(token: str) -> bytes:
-        """A token of a byte-level vocabulary as bytes. Printable Latin-1 stands for itself, other bytes for 256 and up."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        value = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        """A token of a byte-level vocabulary as bytes."""
         word = token.removesuffix("</w>") if token != "</w>" else token
-        return bytes(value[c] for c in word) + MARK.encode() * (word != token)
+        return bytes(map(BYTES.__getitem__, word)) + MARK.encode() * (word != token)
 
     def learn(self, words: set[str]) -> None:
         """Encode those of words that are new, all in one call; words over LONGEST are left to the lookup."""
