@@ -137,3 +137,29 @@ def test_whole_attention_reads_every_node_and_edge(spark, tmp_path):
     out = {(x.node, x.d): x.out for x in catalog.sparse_attention_all(spark, str(tmp_path)).collect()}
     sums = {(i, d): sum(w * float(e[b, d + 2]) for (a, b), w in weights.items() if a == i) for i in range(30) for d in range(3)}
     assert out.keys() == sums.keys() and all(abs(out[x] - (s if s > 0 else np.expm1(s))) < 1e-4 for x, s in sums.items())
+
+
+def test_lengths_fall_back_and_empty_selections_fail(spark):
+    edges = spark.createDataFrame([(0, 1, 2), (1, 2, 1)], "edge_id int, src int, dst int")
+    roads = spark.createDataFrame([(1, 2, 3.5)], "src int, dst int, length_km double")
+    assert [r.length_km for r in graph.lengths(edges, None, roads).orderBy("edge_id").collect()] == [3.5, 0.0]
+    with pytest.raises(ValueError):
+        graph.lengths(edges, None)
+    zones = tables.zones_of(spark, 3)
+    assert graph.checked(graph.select_zones(zones, 2)).count() == 2
+    with pytest.raises(ValueError):
+        graph.checked(graph.select_zones(zones.where("index > 5"), 2))
+
+
+def test_statistics_survive_a_file(spark, tmp_path):
+    stats = spark.createDataFrame([(0, 1.25, 0.1), (1, float(2**0.5), 1.0)], "edge_id int, mean double, std double")
+    series.write_stats(stats, f"file://{tmp_path}/stats")
+    assert sorted(series.read_stats(spark, f"file://{tmp_path}/stats", "edge_id int, mean double, std double").collect()) == sorted(stats.collect())
+
+
+def test_calendar_channels_join_by_step(spark):
+    times = spark.createDataFrame([(t, dt.date(2024, 1, 1 + t // 2), t % 2, t // 2) for t in range(4)], "t int, date date, slot int, day_of_week int")
+    rows = spark.createDataFrame([(t, z, 10 * t + z) for t in range(4) for z in range(2)], "t int, zone int, demand int")
+    got = {(r.t, r.zone): r for r in series.with_calendar(rows, times).collect()}
+    assert len(got) == 8 and all(r.demand == 10 * t + z for (t, z), r in got.items())
+    assert abs(got[3, 0].slot_cos - np.cos(np.pi)) < 1e-12 and abs(got[2, 1].weekday_sin - np.sin(2 * np.pi / 7)) < 1e-12

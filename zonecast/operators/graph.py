@@ -26,8 +26,11 @@ def edge_list(cells: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def lengths(edges: DataFrame, *tables: DataFrame) -> DataFrame:
-    """edges with length_km from the first given table (src, dst, length_km), 0 where it has none."""
-    return edges.join(tables[0].select("src", "dst", "length_km"), ["src", "dst"], "left").na.fill(0.0, ["length_km"]).select("edge_id", "src", "dst", "length_km")
+    """edges with length_km from the first table (src, dst, length_km) given that is not None, as a source takes the next one's place as a whole; 0 where it has none."""
+    found = next((x for x in tables if x is not None), None)
+    if found is None:
+        raise ValueError("no table of lengths")
+    return edges.join(found.select("src", "dst", "length_km"), ["src", "dst"], "left").na.fill(0.0, ["length_km"]).select("edge_id", "src", "dst", "length_km")
 
 
 def trip_lengths(edges: DataFrame, trips: DataFrame) -> DataFrame:
@@ -64,10 +67,17 @@ def fixed_features(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def select_zones(zones: DataFrame, most: int) -> DataFrame:
-    """Zones whose locationid is at most most; all if most is not positive. The caller checks that some are left."""
+    """Zones whose locationid is at most most; all if most is not positive."""
     return zones if most <= 0 else zones.where(F.col("locationid") <= most)
 
 
+def checked(selected: DataFrame) -> DataFrame:
+    """selected, written zones; an error if there are none."""
+    if selected.isEmpty():
+        raise ValueError("no zone is selected")
+    return selected
+
+
 def induced(edges: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mapping (full, sub) of the selected nodes (column node), and edges between them with new ends and sub_edge_id."""
     mapping = selected.select(F.col("node").alias("full"), (F.row_number().over(Window.orderBy("node")) - 1).alias("sub"))

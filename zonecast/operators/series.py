@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import calendar_label, cyclic
@@ -15,6 +15,11 @@ def temporal_features(times: DataFrame, slots_per_day: int | None = None) -> Dat
     return rows.select("t", *[c.alias(f"{n}_{w}") for n, x, p in parts for w, c in zip(("sin", "cos"), cyclic(x, p), strict=True)])
 
 
+def with_calendar(rows: DataFrame, times: DataFrame, slots_per_day: int | None = None) -> DataFrame:
+    """rows (t, ...) with the six calendar channels of their step: the same for every node, so they are joined by t."""
+    return rows.join(temporal_features(times, slots_per_day), "t")
+
+
 def split_labels(times: DataFrame) -> DataFrame:
     return times.select("t", "date", calendar_label(F.col("date")).alias("split"))
 
@@ -68,3 +73,13 @@ def normalize_speed(rows: DataFrame, stats: DataFrame | None, inverse: bool = Fa
         return rows
     value = F.col("speed") * F.col("std") + F.col("mean") if inverse else (F.col("speed") - F.col("mean")) / F.col("std")
     return rows.join(stats, "edge_id").withColumn("speed", value).select(rows.columns)
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """Statistics as JSON lines, one file: they are one row, or one an edge."""
+    stats.coalesce(1).write.json(path)
+
+
+def read_stats(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_stats wrote; a row that does not fit the schema is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -172,6 +172,12 @@ def temporal_features(spark, d):
     return out.select("t", *[rounded(F.col(c)).alias(c) for c in out.columns if c != "t"])
 
 
+def node_calendar_channels(spark, d):
+    """Demand and supply of each step and zone with the calendar channels of the step."""
+    out = S.with_calendar(T.demand_supply(_trips(spark, d), ZONES).select(F.col("slot").alias("t"), "zone", "demand", "supply"), _times(spark, d))
+    return out.select("t", "zone", "demand", "supply", *[rounded(F.col(c)).alias(c) for c in out.columns if c.endswith(("_sin", "_cos"))])
+
+
 def calendar_split(spark, d):
     return S.split_labels(_times(spark, d))
 
@@ -215,6 +221,13 @@ def normalize_speed(spark, d):
     return S.normalize_speed(rows, S.speed_stats(rows)).select("t", "edge_id", rounded(F.col("speed")).alias("speed"))
 
 
+def denormalize_speed(spark, d):
+    """Speeds normalized and back."""
+    rows = _speeds(spark, d)
+    stats = S.speed_stats(rows)
+    return S.normalize_speed(S.normalize_speed(rows, stats), stats, inverse=True).select("t", "edge_id", rounded(F.col("speed")).alias("speed"))
+
+
 def denormalize_roundtrip(spark, d):
     rows = _series(spark, d)
     stats = S.count_stats(rows)
@@ -374,8 +387,8 @@ def _conv(w: list[float]) -> str:
 QUERIES = {f.__name__: f for f in (
     trip_filter, trip_duration, demand_by_slot_zone, dropoff_by_slot_zone, vacant_supply, node_features,
     od_pair_counts, od_adjacency, edge_list, edge_lengths, edge_speeds, line_graph, fixed_graph_self_loops, fixed_edge_features, induced_subgraph, zone_select_by_id, nation_od_counts,
-    temporal_features, calendar_split, split_windows, split_counts,
-    norm_stats_counts, norm_stats_speed, normalize_counts, normalize_speed, denormalize_roundtrip, history_windows, target_windows,
+    temporal_features, node_calendar_channels, calendar_split, split_windows, split_counts,
+    norm_stats_counts, norm_stats_speed, normalize_counts, normalize_speed, denormalize_speed, denormalize_roundtrip, history_windows, target_windows,
     profile_floor, speed_profile_mean, profile_slot_minutes, perturbed_profile,
     segment_softmax, sparse_attention, segment_softmax_all, sparse_attention_all, dense_attention, gated_temporal_conv_lag, multi_task_loss, raw_metrics,
 )}
@@ -399,6 +412,7 @@ ORACLE_SQL = {
     "zone_select_by_id": 'SELECT n_nationkey AS "index", n_name AS zone_name, CAST(n_nationkey + 1 AS BIGINT) AS locationid FROM nation WHERE n_nationkey + 1 <= 10',
     "nation_od_counts": "SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL HAVING count(*) > 5 AND c_nationkey <> s_nationkey",
     "temporal_features": "WITH " + _TIMES + "SELECT t, " + ", ".join(f"{_r(f'{w}(2 * pi() * {x})')} AS {n}_{w}" for n, x in (("month", "(month(date) - 1) / 12.0"), ("weekday", "dow / 7.0"), ("slot", "slot / (SELECT max(slot) + 1.0 FROM times)")) for w in ("sin", "cos")) + " FROM times",
+    "node_calendar_channels": _with_trips() + _SUPPLY + "," + _TIMES + "SELECT t, zone, demand, supply, " + ", ".join(f"{_r(f'{w}(2 * pi() * {x})')} AS {n}_{w}" for n, x in (("month", "(month(date) - 1) / 12.0"), ("weekday", "dow / 7.0"), ("slot", "times.slot / (SELECT max(slot) + 1.0 FROM times)")) for w in ("sin", "cos")) + " FROM supply JOIN times ON supply.slot = t",
     "calendar_split": "WITH " + _TIMES + "SELECT t, date, split FROM labels",
     "split_windows": "WITH " + _TIMES + "SELECT CAST(idx AS INT) AS idx, split FROM wins",
     "split_counts": "WITH " + _TIMES + "SELECT split, count(*) AS n FROM wins GROUP BY split",
@@ -406,6 +420,7 @@ ORACLE_SQL = {
     "norm_stats_speed": _SPEEDS + f"SELECT edge_id, {_r('mean')} AS mean, {_r('std')} AS std FROM sst",
     "normalize_counts": _SERIES + f"SELECT t, zone, {_r('(ln(1 + demand) - dm) / ds')} AS demand, {_r('(ln(1 + supply) - sm) / ss')} AS supply FROM series, stats",
     "normalize_speed": _SPEEDS + f"SELECT t, edge_id, {_r('(speed - mean) / std')} AS speed FROM sp JOIN sst USING (edge_id)",
+    "denormalize_speed": _SPEEDS + f"SELECT t, edge_id, {_r('speed')} AS speed FROM sp JOIN sst USING (edge_id)",
     "denormalize_roundtrip": _SERIES + "SELECT t, zone, demand, supply FROM series",
     "history_windows": _SERIES + "SELECT b.zone, CAST(b.idx AS INT) AS idx, CAST(h.p - b.idx AS INT) AS step, h.t, h.demand, h.supply FROM wind b JOIN pos h ON h.zone = b.zone AND h.p BETWEEN b.idx AND b.idx + 11",
     "target_windows": _SERIES + "SELECT b.zone, CAST(b.idx AS INT) AS idx, CAST(h.p - b.idx - 12 AS INT) AS step, h.t, h.demand, h.supply FROM wind b JOIN pos h ON h.zone = b.zone AND h.p BETWEEN b.idx + 12 AND b.idx + 14",
