@@ -54,9 +54,10 @@ class Vocabulary:
         self.bytes = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.longest = max(map(len, texts))
         self.letters = frozenset(x for x in texts if len(x) == 1)
-        hashes = _spread(np.array([self.hash_one(x) for x in texts], np.uint64))
+        known = dict.fromkeys((x[:i] for x in texts for i in range(1, len(x))), -1) | dict(zip(texts, plain, strict=True))
+        hashes = _spread(np.array([self.hash_one(x) for x in known], np.uint64))
         order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(plain)[order]
+        self.hashes, self.ids = hashes[order], np.array(list(known.values()))[order]
         self.slots = 1 << 20
         self.table = np.full(self.slots, -1, np.int32)  # first try of a lookup; others search
         top = (self.hashes >> np.uint64(44)).astype(np.int64)
@@ -71,10 +72,10 @@ class Vocabulary:
         return h
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece ids by hash, or -1."""
+        """Piece ids by hash; -1 for what only begins pieces, -2 for what begins none."""
         hashes = _spread(hashes)
         at = self.table[(hashes >> np.uint64(44)).astype(np.int64)]
-        out = np.full(len(hashes), -1, np.int64)
+        out = np.full(len(hashes), -2, np.int64)
         todo = np.flatnonzero(at >= 0)
         for step in range(self.runs):
             where = np.minimum(at[todo] + step, len(self.hashes) - 1)
@@ -111,6 +112,8 @@ def lattice(words: list[str], voc: Vocabulary) -> tuple[np.ndarray, list[tuple[i
             hit = ids >= 0
             if hit.any():
                 edges.append((start, end + 1, live[hit], ids[hit]))
+            on = ids > -2
+            live, h = live[on], h[on]
     return lengths, edges
 
 
@@ -209,8 +212,10 @@ def expected(words: list[str], table: np.ndarray, voc: Vocabulary, counts: np.nd
     for (start, end, rows, _), w in zip(reversed(edges), reversed(weights), strict=True):
         beta[start, rows] += beta[end, rows] * w
     scale = counts[short] / beta[0]
-    for (start, end, rows, ids), w in zip(edges, weights, strict=True):
-        np.add.at(out, ids, alpha[start, rows] * w * beta[end, rows] * scale[rows])
+    used = np.concatenate([alpha[start, rows] * w * beta[end, rows] * scale[rows] for (start, end, rows, _), w in zip(edges, weights, strict=True)])
+    pieces = np.concatenate([ids for *_, ids in edges])
+    for column in range(out.shape[1]):
+        out[:, column] += np.bincount(pieces, used[:, column], voc.size)
     return out
 
 
