@@ -2,8 +2,8 @@
 
 Each step is a map-side minimum by node and a join on the node; edges are written between steps, so lineage stays
 short. No adjacency list is gathered: a node with very many edges is many rows, and its join can be split. Steps go on
-until no edge changes, which the stars reach in a number of steps that grows with the logarithm of the graph. Edges
-with a null end are left out.
+until the edges are stars, which takes a number of steps that grows with the logarithm of the graph. Edges with a null
+end are left out.
 """
 
 from __future__ import annotations
@@ -23,16 +23,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge and is nobody's v. As u > v, each v is then the least of its component."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 OR (below = 1 AND above = 1)").count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node with an edge, from edges (a, b) of one integer type; component: the least id reachable."""
-    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before, found = None, now.agg(F.count(F.lit(1)), mark).first()
-    while found != before:
-        after = keep(_star(_star(now, True), False), "edges")
+    while not _stars(now):
+        after = keep(_star(_star(now, True), False).distinct(), "edges")
         drop(now)
-        now, before, found = after, found, after.agg(F.count(F.lit(1)), mark).first()
+        now = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

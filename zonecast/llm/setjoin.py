@@ -265,6 +265,7 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         links = links.union(found)
         if turn == 0:
             named = components(links).select(F.col("id").alias("d"), F.col("component").alias("class"))
+            links = named.select(F.col("d").alias("a"), F.col("class").alias("b"))  # stars join what the links join
     found = components(links.union(copies.select("doc_id", "node")))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
