@@ -26,6 +26,10 @@ def _strength(table: str, parent: str) -> str:
   SELECT sum(n * (x / n - {rate}) ** 2) AS s, sum({rate} * (1 - {rate})) AS v, sum({rate} * (1 - {rate}) * (n - 1)) AS w FROM {table} WHERE n > 0))"""
 
 
+#: Terms of a text: runs of lower-cased letters and digits of ASCII and of all else that is no ASCII.
+_TERMS = "regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 SQL: dict[str, str] = {
     "op1_quality_divergence": f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -85,4 +89,37 @@ second AS (SELECT *, (domain_k * suffix_rate + domain_x) / (domain_k + domain_n)
 third AS (SELECT host, (host_k * domain_rate + x) / (host_k + n) AS rate, host_k + n AS weight FROM second),
 bad AS (SELECT host FROM third WHERE rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5)
 SELECT page_id, host, path, rule, CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL OR host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
+    "op11_positional_index": f"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+iw AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') AS phrase, least(len(w), 10) AS size
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+runs AS (SELECT r, size, p, array_to_string(w[p : p + size - 1], ' ') AS phrase FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM dw, sizes)),
+found AS (SELECT r, runs.size, p, item_id FROM runs JOIN windows USING (phrase, size)),
+hits AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + size)) AS q FROM (SELECT DISTINCT r, p, size FROM found)) GROUP BY r),
+named AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM found) WHERE x IS NOT NULL GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits h USING (r) LEFT JOIN named i USING (r)""",
+    "op12_fill_in_middle": """
+WITH units AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM units),
+ends AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn),
+cut AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m, array_to_string(list_slice(u, b + 1, n), '') AS s FROM ends),
+put AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(o) AS output_sha256, sha256(CASE form WHEN 'plain' THEN o WHEN 'psm' THEN regexp_replace(o, '(?s)^<P>(.*?)<S>(.*?)<M>(.*)$', '\\1\\3\\2') ELSE regexp_replace(o, '(?s)^<S>(.*?)<P>(.*?)<M>(.*)$', '\\2\\3\\1') END) AS restored_sha256 FROM put""",
+    "op13_ranked_search": f"""
+WITH dt AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+docs AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM dt WHERE len(w) > 0),
+size AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM docs),
+tfs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY ALL),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tfs, size GROUP BY term, n_docs),
+rules AS (SELECT r, doc_id, 75 + (25 * n * n_docs) // total AS m FROM docs, size),
+scores AS (SELECT item_id, doc_id, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+           FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN rules USING (r) GROUP BY ALL),
+ranks AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 20""",
 }
