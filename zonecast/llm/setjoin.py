@@ -3,8 +3,10 @@
 1. Texts become sets of 64-bit shingle hashes. Equal sets are one node, named by the least doc_id.
 2. Columns: two linked sets have a token in common among the first p of either in any one order of all tokens, where
    p - 1 is how many of its tokens a set's partner can lack. The order here: tokens of low hash (a share of all that
-   makes about SPARE p a set) by how many rows hold them, then the others by hash. So a passage that many documents
-   share comes last, and is only looked at by sets that hold little else. Only low tokens are counted and moved.
+   makes about SPARE p a set) by how many rows hold them, then the others by hash, and last those that are frequent in
+   a sample of about SAMPLE rows, by how often. So a passage that many documents share is only looked at by sets that
+   hold little else. Only low tokens are counted and moved. Any order finds all links: the sample only saves work, and
+   what is kept of it is bounded (FREQUENT tokens, those in LEAST rows and more).
 3. Groups: a set belongs to the group of one of its looked-at tokens, the lowest of those that about as many sets
    share as share any of them; so most near copies of a text fall into one group. A group is held in blocks of about
    BLOCK sets and VOLUME tokens.
@@ -40,6 +42,7 @@ from .components import components
 #: Sets and tokens a block, queries a chunk, words a worker's cache holds, columns of the matrix multiplied at once.
 BLOCK, VOLUME, CHUNK, CACHE_SIZE, COLUMNS = 64, 1 << 18, 1000, 200_000, 1 << 15
 SPARE = 1.5
+SAMPLE, FREQUENT, LEAST, BUCKETS = 8_000, 1 << 18, 3, 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _SIGN = np.uint64(1 << 63)
 
@@ -78,10 +81,18 @@ def reach(n: int, percent: int) -> int:
     return n + (-n * percent) // 100 + 1
 
 
-def columns(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens that may be looked at: those of low hash, or the first p where these are fewer."""
+def columns(tokens: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The tokens that may be looked at: those of low hash that are not frequent, or the first p where these are fewer. frequent: tokens, sorted, and how often each is seen."""
+    known, times = frequent
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        often = known[at] == tokens
+        last, tokens = tokens[often], tokens[~often]
+        last = last[np.lexsort((last, times[at[often]]))]
+    else:
+        last = tokens[:0]
     low = np.searchsorted(tokens, np.uint64(min(SPARE * (100 - percent) / 100, 0.999) * 2.0**64))
-    return tokens[: max(int(low), reach(len(tokens), percent))]
+    return np.concatenate([tokens, last])[: max(int(low), reach(len(tokens) + len(last), percent))]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -90,8 +101,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((flat ^ _SIGN).view(np.int64)))
 
 
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that are frequent in a sample, sorted, and in how many of its rows each is."""
+    rows = docs.count()
+    some = docs.select("text") if rows <= SAMPLE else docs.select("text").sample(SAMPLE / rows, seed=7)
+    counts = _tokens(some, words).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") >= LEAST)
+    found = counts.orderBy(F.col("n").desc(), "token").limit(FREQUENT).toPandas()
+    tokens = found["token"].to_numpy(np.int64).view(np.uint64) ^ _SIGN
+    order = np.argsort(tokens)
+    return tokens[order], found["n"].to_numpy(np.int32)[order]
+
+
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n, p, s1, s2, columns) of each row, s1 and s2 naming the set."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -102,7 +125,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 names = [(_mix(x + _A).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(x * _A + _C), initial=np.uint64(0))) for x in found]
                 s1, s2 = (pa.array(np.array([x[i] for x in names], np.uint64).view(np.int64)) for i in (0, 1))
                 n, p = pa.array([len(x) for x in found], pa.int64()), pa.array([reach(len(x), percent) for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), n, p, s1, s2, _lists([columns(x, percent) for x in found])], ["doc_id", "n", "p", "s1", "s2", "columns"])
+                yield pa.RecordBatch.from_arrays([part.column(0), n, p, s1, s2, _lists([columns(x, percent, frequent.value) for x in found])], ["doc_id", "n", "p", "s1", "s2", "columns"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, p long, s1 long, s2 long, columns array<long>")
 
@@ -119,7 +142,7 @@ def _tokens(docs: DataFrame, words: int) -> DataFrame:
                 found = _lists([shingles(x.as_py(), words, hashes) for x in part.column("text")])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), found], [*others, "tokens"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text") + ", tokens array<long>")
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != "text"), "tokens array<long>"]))
 
 
 class Block:
@@ -208,13 +231,13 @@ def _across(asked: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 def _ask(cells: DataFrame, rows: int, percent: int) -> DataFrame:
     """(d, home, block): the blocks each set asks. cells: (token, d, low, n, home, block, class, size), written.
 
-    Of two classes that share a token, the sets of the smaller one ask the blocks that hold the token in the other, if
-    their sizes can link. A set is not sent to its own block, which has compared it.
+    A set asks a block that holds one of its tokens in a larger class than its own, if their sizes can link; so of two
+    classes that share a token, the sets of the smaller one ask. None is sent to its own block, which has compared it.
     """
     several = cells.groupBy("token").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.count(F.lit(1)).alias("rows")).where("first <> last").select("token", "rows")
     apart = keep(join_hot(cells, several, ["token"], "rows", max(1, rows)), "apart")
-    held = apart.groupBy("token", "class", "size", "home", "block").agg(F.min("low").alias("least"), F.max("n").alias("most"))
-    held = held.select("token", F.struct("size", "class").alias("to_rank"), F.col("home").alias("to_home"), F.col("block").alias("to_block"), "least", "most")
+    held = apart.groupBy("token", "home", "block").agg(F.max(F.struct("size", "class")).alias("to_rank"), F.min("low").alias("least"), F.max("n").alias("most"))
+    held = held.select("token", "to_rank", F.col("home").alias("to_home"), F.col("block").alias("to_block"), "least", "most")
     met = apart.join(held, "token").where((F.struct("size", "class") < F.col("to_rank")) & ((F.col("home") != F.col("to_home")) | (F.col("block") != F.col("to_block"))))
     fits = (100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("low") <= 100 * F.col("most"))
     return met.where(fits).select("d", F.col("to_home").alias("home"), F.col("to_block").alias("block")).distinct()
@@ -248,7 +271,10 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     room = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / VOLUME)).cast("int")
     groups = homes.groupBy("home").agg(room.alias("blocks"), F.count(F.lit(1)).alias("rows"))
     homes = keep(join_hot(homes, groups, ["home"], "rows", max(1, homes.count())).select("d", "n", "home", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int").alias("block")), "homes")
-    texts = docs.select(F.col("doc_id").alias("d"), "text").join(homes.select("d", "home", "block"), "d")
+    # most texts have no home: a table of at most BUCKETS hashes, broadcast, keeps them from being moved
+    bucket = F.pmod(F.xxhash64("d"), F.lit(BUCKETS)).alias("bucket")
+    texts = docs.select(F.col("doc_id").alias("d"), "text").withColumn("bucket", bucket).join(F.broadcast(homes.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    texts = texts.join(homes.select("d", "home", "block"), "d")
     members = keep(_tokens(texts, words), "members")
 
     # 4. own blocks
@@ -259,7 +285,8 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for turn in range(2):
         of = homes.join(named, "d", "left").groupBy("d", "home", "block").agg(F.coalesce(F.min("class"), F.col("d")).alias("class"))
         of = of.join(of.groupBy("class").agg(F.count(F.lit(1)).alias("size")), "class")
-        cells = keep(many.select("token", "d", "low", "n").join(of if turn else of.join(rest, "d", "left_semi"), "d"), "cells")
+        cells = many.select("token", "d", "low", "n").join(of if turn else of.join(rest, "d", "left_semi"), "d")
+        cells = keep(cells if turn else cells.where("token = home"), "cells")
         found = keep(_across(keep(_ask(cells, met, percent), "asked"), members, percent), "links")
         drop(cells)
         links = links.union(found)
