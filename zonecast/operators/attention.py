@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAK, MASKED, LEAST_SUM = 0.2, -1e9, 1e-12
+#: Parts of a receiver's edges, so that one with a third of all edges meets in no one task.
+SALTS = 32
 
 
 def leaky(x: Column) -> Column:
@@ -16,31 +18,64 @@ def elu(x: Column) -> Column:
     return F.when(x > 0, x).otherwise(F.expm1(x))
 
 
+def _in_parts(scores: DataFrame, key: str, value: str, by: list[str]) -> DataFrame:
+    """scores with _salt, by hash of by, _e and _m: the exponential of each score less the maximum of its part (key, salt)."""
+    salt = F.pmod(F.xxhash64(*by), F.lit(SALTS))
+    part = Window.partitionBy(key, "_salt")
+    return scores.withColumn("_salt", salt).withColumn("_m", F.max(value).over(part)).withColumn("_e", F.exp(F.col(value) - F.col("_m")))
+
+
 def segment_softmax(scores: DataFrame, key: str = "recv", value: str = "score") -> DataFrame:
-    """scores with weight: softmax within key, less the maximum first."""
-    by = Window.partitionBy(key)
-    grown = scores.withColumn("_e", F.exp(F.col(value) - F.max(value).over(by)))
-    return grown.withColumn("weight", F.col("_e") / F.greatest(F.sum("_e").over(by), F.lit(LEAST_SUM))).drop("_e")
+    """scores with weight: softmax within key, less the maximum first.
 
+    A key's rows are cut into SALTS parts by hash; what meets of a key is one row a part.
+    """
+    grown = _in_parts(scores, key, value, scores.columns)
+    parts = grown.groupBy(key, "_salt").agg(F.max("_m").alias("_m"), F.sum("_e").alias("_s"))
+    whole = Window.partitionBy(key)
+    scaled = parts.withColumn("_f", F.exp(F.col("_m") - F.max("_m").over(whole)))
+    scaled = scaled.withColumn("_f", F.col("_f") / F.greatest(F.sum(F.col("_s") * F.col("_f")).over(whole), F.lit(LEAST_SUM)))
+    return grown.join(scaled.select(key, "_salt", "_f"), [key, "_salt"]).select(*scores.columns, (F.col("_e") * F.col("_f")).alias("weight"))
 
-def sparse_attention(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, out) from nodes (node, q, k, v: v an array) and pairs (recv, send[, e]). A node that receives nothing gets zeros."""
-    scored = pairs.join(nodes.select(F.col("node").alias("recv"), "q"), "recv").join(nodes.select(F.col("node").alias("send"), "k", "v"), "send")
+
+def _scored(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    joined = pairs.join(nodes.select(F.col("node").alias("recv"), "q"), "recv").join(nodes.select(F.col("node").alias("send"), "k", "v"), "send")
     extra = F.col("e") if "e" in pairs.columns else F.lit(0.0)
-    weighed = segment_softmax(scored.withColumn("score", leaky(F.col("q") + F.col("k") + extra)))
-    sums = weighed.select("recv", "weight", F.posexplode("v").alias("d", "x")).groupBy("recv", "d").agg(F.sum(F.col("weight") * F.col("x")).alias("s"))
-    every = nodes.select("node", F.posexplode("v").alias("d", "_")).drop("_")
-    full = every.join(sums.withColumnRenamed("recv", "node"), ["node", "d"], "left")
-    return full.select("node", "d", elu(F.coalesce("s", F.lit(0.0))).alias("out"))
+    return joined.select("recv", "send", "v", leaky(F.col("q") + F.col("k") + extra).alias("score"))
+
+
+def _averages(nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(recv, out): the attention's average of the senders' v, an array of width components, each a sum of its own."""
+    grown = _in_parts(_scored(nodes, pairs), "recv", "score", ["send"])
+    sums = grown.groupBy("recv", "_salt").agg(F.max("_m").alias("_m"), F.sum("_e").alias("_s"), *[F.sum(F.col("_e") * F.get("v", F.lit(d))).alias(f"x{d}") for d in range(width)])
+    scaled = sums.withColumn("_f", F.exp(F.col("_m") - F.max("_m").over(Window.partitionBy("recv"))))
+    total = F.greatest(F.sum(F.col("_s") * F.col("_f")), F.lit(LEAST_SUM))
+    return scaled.groupBy("recv").agg(F.array(*[F.sum(F.col(f"x{d}") * F.col("_f")) / total for d in range(width)]).alias("out"))
+
+
+def width_of(nodes: DataFrame) -> int:
+    """The number of components of v: one aggregation."""
+    return nodes.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+
 
+def sparse_attention(nodes: DataFrame, pairs: DataFrame, width: int | None = None) -> DataFrame:
+    """(node, d, out) from nodes (node, q, k, v: v an array) and pairs (recv, send[, e]). A node that receives nothing gets zeros."""
+    width = width_of(nodes) if width is None else width
+    found = nodes.select("node").join(_averages(nodes, pairs, width).withColumnRenamed("recv", "node"), "node", "left")
+    out = F.coalesce("out", F.array_repeat(F.lit(0.0), width))
+    return found.select("node", F.posexplode(out).alias("d", "x")).select("node", "d", elu(F.col("x")).alias("out"))
 
-def dense_attention(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """As sparse_attention over all pairs of nodes, those not in pairs masked: a node without neighbours averages all. For small graphs by its nature."""
-    every = nodes.select(F.col("node").alias("recv"), "q").crossJoin(nodes.select(F.col("node").alias("send"), "k", "v"))
-    marked = every.join(pairs.select("recv", "send", F.lit(True).alias("near")), ["recv", "send"], "left")
-    weighed = segment_softmax(marked.withColumn("score", F.when(F.col("near"), leaky(F.col("q") + F.col("k"))).otherwise(MASKED)))
-    sums = weighed.select("recv", "weight", F.posexplode("v").alias("d", "x")).groupBy("recv", "d").agg(F.sum(F.col("weight") * F.col("x")).alias("s"))
-    return sums.select(F.col("recv").alias("node"), "d", elu(F.col("s")).alias("out"))
+
+def dense_attention(nodes: DataFrame, pairs: DataFrame, width: int | None = None) -> DataFrame:
+    """As sparse_attention over all pairs of nodes, those not in pairs masked: a node without neighbours averages all nodes.
+
+    Masked scores are MASKED, so far below any other that their weights are 0 beside a neighbour, and all alike without
+    one: no pair but those given is made.
+    """
+    width = width_of(nodes) if width is None else width
+    every = nodes.agg(F.array(*[F.avg(F.get("v", F.lit(d))) for d in range(width)]).alias("all"))
+    found = nodes.select("node").join(_averages(nodes, pairs.select("recv", "send").distinct(), width).withColumnRenamed("recv", "node"), "node", "left").crossJoin(F.broadcast(every))
+    return found.select("node", F.posexplode(F.coalesce("out", "all")).alias("d", "x")).select("node", "d", elu(F.col("x")).alias("out"))
 
 
 def sigmoid(x: Column) -> Column:
@@ -71,3 +106,19 @@ def raw_metrics(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("task").agg(F.sum(error * error).alias("se"), F.sum(F.abs(error)).alias("ae"), F.count(error).alias("n"))
     n = F.greatest(F.col("n"), F.lit(1))
     return sums.select("task", (F.col("se") / n).alias("mse"), F.sqrt(F.col("se") / n).alias("rmse"), (F.col("ae") / n).alias("mae"), "n")
+
+
+def raw_scale(rows: DataFrame, counts: DataFrame, speeds: DataFrame) -> DataFrame:
+    """rows (task, edge_id, pred, target) in normalized space, back on the raw scale: both sides, by task.
+
+    counts: one row of count_stats(), for demand and supply; speeds: speed_stats(), by edge, for the task speed.
+    """
+    joined = rows.join(speeds.select("edge_id", F.col("mean").alias("_mean"), F.col("std").alias("_std")), "edge_id", "left").crossJoin(F.broadcast(counts))
+    of = lambda x: F.when(F.col("task") == "demand", F.expm1(x * F.col("demand_std") + F.col("demand_mean"))).when(F.col("task") == "supply", F.expm1(x * F.col("supply_std") + F.col("supply_mean"))).when(F.col("task") == "speed", x * F.col("_std") + F.col("_mean"))
+    return joined.withColumns({"pred": of(F.col("pred")), "target": of(F.col("target"))}).select(rows.columns)
+
+
+def write_metrics(loss: DataFrame, raw: DataFrame, path: str) -> None:
+    """One JSON document, committed once: the loss in normalized space and the metrics of raw_metrics() by task."""
+    by_task = F.map_from_entries(F.collect_list(F.struct("task", F.struct("mse", "rmse", "mae", "n").alias("metrics"))))
+    raw.agg(by_task.alias("raw")).crossJoin(F.broadcast(loss.select(F.col("loss").alias("normalized_loss")))).coalesce(1).write.mode("overwrite").json(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DEFAULT_LENGTH_KM, DEFAULT_SPEED, MILE_KM, at_least, mean_speed, null_if_nan
+from .numbering import numbered
 
 MIN_PAIR_TRIPS, MIN_SLOT_TRIPS = 5, 2
 
@@ -20,9 +21,9 @@ def adjacency(trips: DataFrame, over: int = MIN_PAIR_TRIPS) -> DataFrame:
 
 
 def edge_list(cells: DataFrame, weight: str | None = None) -> DataFrame:
-    """Edges of adjacency cells (of positive weight), numbered row by row. The numbering orders the edge table in one task: it is of graph size."""
+    """Edges of adjacency cells (of positive weight), numbered row by row."""
     kept = cells if weight is None else cells.where(F.col(weight) > 0)
-    return kept.select("src", "dst").withColumn("edge_id", F.row_number().over(Window.orderBy("src", "dst")) - 1).select("edge_id", "src", "dst")
+    return numbered(kept.select("src", "dst"), ["src", "dst"], "edge_id").select(F.col("edge_id").cast("int").alias("edge_id"), "src", "dst")
 
 
 def lengths(edges: DataFrame, *tables: DataFrame) -> DataFrame:
@@ -66,6 +67,16 @@ def fixed_features(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(road, ["recv", "send"], "left").na.fill(0, ["has_road"]).na.fill(0.0, ["length_km"])
 
 
+def features_by_step(fixed: DataFrame, edges: DataFrame, speeds: DataFrame, steps: DataFrame) -> DataFrame:
+    """(t, recv, send, has_road, length_km, speed) at each step (of steps: t): the edge's speed at that step, 0 where there is no road.
+
+    fixed: fixed_features(); edges: (edge_id, src, dst); speeds: (t, edge_id, speed). Steps without a speed have 0.
+    """
+    road = edges.select(F.col("src").alias("recv"), F.col("dst").alias("send"), "edge_id")
+    every = fixed.join(road, ["recv", "send"], "left").crossJoin(F.broadcast(steps.select("t")))
+    return every.join(speeds.select("t", "edge_id", "speed"), ["t", "edge_id"], "left").na.fill(0.0, ["speed"]).select("t", "recv", "send", "has_road", "length_km", "speed")
+
+
 def select_zones(zones: DataFrame, most: int) -> DataFrame:
     """Zones whose locationid is at most most; all if most is not positive."""
     return zones if most <= 0 else zones.where(F.col("locationid") <= most)
@@ -80,6 +91,6 @@ def checked(selected: DataFrame) -> DataFrame:
 
 def induced(edges: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mapping (full, sub) of the selected nodes (column node), and edges between them with new ends and sub_edge_id."""
-    mapping = selected.select(F.col("node").alias("full"), (F.row_number().over(Window.orderBy("node")) - 1).alias("sub"))
+    mapping = numbered(selected.select(F.col("node").alias("full")), ["full"], "sub").select("full", F.col("sub").cast("int").alias("sub"))
     ends = edges.join(mapping.toDF("src", "sub_src"), "src").join(mapping.toDF("dst", "sub_dst"), "dst")
-    return mapping, ends.withColumn("sub_edge_id", F.row_number().over(Window.orderBy("edge_id")) - 1).select("edge_id", "sub_edge_id", "sub_src", "sub_dst")
+    return mapping, numbered(ends.select("edge_id", "sub_src", "sub_dst"), ["edge_id"], "sub_edge_id").select("edge_id", F.col("sub_edge_id").cast("int").alias("sub_edge_id"), "sub_src", "sub_dst")

@@ -11,12 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .attention import LEAST_SUM, elu, leaky, sigmoid
+from .attention import LEAST_SUM, SALTS, elu, leaky, sigmoid
 
 Matrix = list[list[float]]
 EPSILON = 1e-5
-#: Parts of a receiver's edges, so that one with a third of all edges meets in no one task.
-SALTS = 32
 
 
 def literal(values: list) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import at_least
+from .noise import uniform
 
 
 def floored(profile: DataFrame, low: float = 1.0) -> DataFrame:
@@ -22,11 +22,12 @@ def slot_minutes(slots: int, averaged: bool) -> int:
     return 1440 // slots if averaged and slots and 1440 % slots == 0 else 15
 
 
-def perturbed(profile: DataFrame, edges: int, slots: int, seed: int = 42, low: float = 0.7, high: float = 1.3) -> DataFrame:
-    """profile times uniform noise, drawn for all edges and slots in order from one seeded legacy generator: of graph size, so drawn on the driver."""
-    import pandas as pd
+def slot_length(slots: Column, averaged: bool) -> Column:
+    """slot_minutes() of a column."""
+    return F.when(F.lit(averaged) & (slots > 0) & (F.try_mod(F.lit(1440), slots) == 0), F.floor(1440 / slots)).otherwise(15).cast("int")
+
 
-    noise = np.random.RandomState(seed).uniform(low, high, (edges, slots))
-    index = np.indices(noise.shape).reshape(2, -1)
-    table = profile.sparkSession.createDataFrame(pd.DataFrame({"edge_id": index[0], "slot": index[1], "noise": noise.ravel()}))
-    return profile.join(table, ["edge_id", "slot"]).select("edge_id", "slot", (F.col("speed") * F.col("noise")).alias("speed"))
+def perturbed(profile: DataFrame, edges: int, slots: int, seed: int = 42, low: float = 0.7, high: float = 1.3) -> DataFrame:
+    """profile times uniform noise of one seeded legacy generator over all edges and slots in order, drawn in tasks."""
+    noise = uniform(profile.sparkSession, edges, slots, seed=seed, low=low, high=high)
+    return profile.join(noise, ["edge_id", "slot"]).select("edge_id", "slot", (F.col("speed") * F.col("noise")).alias("speed"))

@@ -279,35 +279,12 @@ def speed_profile_mean(spark, d):
     return R.edge_means(_profile(spark, d)).withColumn("speed", rounded(F.col("speed")))
 
 
-def profile_slot_minutes(spark, d):
-    """96 averaged slots make 15-minute slots; 7 do not divide a day."""
-    return spark.range(1).select(F.lit(R.slot_minutes(96, True)).alias("averaged"), F.lit(R.slot_minutes(7, True)).alias("odd"), F.lit(R.slot_minutes(96, False)).alias("raw"))
-
-
 def perturbed_profile(spark, d):
     profile = _profile(spark, d)
     size = profile.agg((F.coalesce(F.max("edge_id"), F.lit(-1)) + 1).alias("e"), (F.coalesce(F.max("slot"), F.lit(-1)) + 1).alias("s")).first()
     return R.perturbed(profile, size.e, size.s)
 
 
-def _attending(spark, d):
-    """Twenty nodes with two-dimensional values from the embeddings, and the trip graph."""
-    v = _read(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").cast("int").alias("node"), F.col("embedding").alias("e"))
-    x = lambda i: F.col("e")[i].cast("double")
-    return v.select("node", x(0).alias("q"), x(1).alias("k"), F.array(x(2), x(3)).alias("v")), G.with_loops(_graph(spark, d)[1].where("src % 4 <> 3"), _nodes(spark).where("node % 4 <> 3"))
-
-
-def segment_softmax(spark, d):
-    nodes, pairs = _attending(spark, d)
-    scored = pairs.join(nodes.select(F.col("node").alias("recv"), "q"), "recv").join(nodes.select(F.col("node").alias("send"), "k"), "send")
-    out = A.segment_softmax(scored.select("recv", "send", A.leaky(F.col("q") + F.col("k")).alias("score")))
-    return out.select("recv", "send", rounded(F.col("weight")).alias("weight"))
-
-
-def sparse_attention(spark, d):
-    return A.sparse_attention(*_attending(spark, d)).withColumn("out", rounded(F.col("out")))
-
-
 def _attending_all(spark, d):
     """All embeddings as nodes, all but two components as values; (part, supplier) of all line items, by place among the nodes, as edges."""
     v = _read(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("e"))
@@ -328,10 +305,6 @@ def sparse_attention_all(spark, d):
     return A.sparse_attention(*_attending_all(spark, d)).withColumn("out", rounded(F.col("out")))
 
 
-def dense_attention(spark, d):
-    return A.dense_attention(*_attending(spark, d)).withColumn("out", rounded(F.col("out")))
-
-
 def gated_temporal_conv_lag(spark, d):
     rows = _series(spark, d).withColumn("x", F.log1p(F.col("demand").cast("double")))
     out = A.gated_convolution(rows, "zone", "x", [0.2, -0.1, 0.5, 0.05], [0.1, 0.3, -0.2, 0.0], [0.4, 0.2, -0.6, 0.1], 2)
@@ -343,7 +316,7 @@ def _persistence(spark, d):
     w = S.history_and_target(_series(spark, d), "zone", ["demand", "supply"])
     rows = w.select("zone", "idx", F.element_at("history", -1).alias("h"), F.posexplode("target").alias("step", "x"))
     both = F.explode(F.array(*[F.struct(F.lit(c).alias("task"), F.col(f"h.{c}").cast("double").alias("pred"), F.col(f"x.{c}").cast("double").alias("target")) for c in ("demand", "supply")]))
-    return rows.select((F.col("idx") / 32).cast("int").alias("batch"), both.alias("r")).select("batch", "r.*")
+    return rows.select("idx", (F.col("idx") / 32).cast("int").alias("batch"), both.alias("r")).select("idx", "batch", "r.*")
 
 
 def multi_task_loss(spark, d):
@@ -355,14 +328,6 @@ def raw_metrics(spark, d):
     return out.select("task", "n", *[rounded(F.col(c)).alias(c) for c in ("mse", "rmse", "mae")])
 
 
-_ATT = _GRAPH + """,
-nd AS (SELECT CAST(vec_id AS INT) AS node, CAST(embedding[1] AS DOUBLE) AS q, CAST(embedding[2] AS DOUBLE) AS k, [CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE)] AS v FROM embeddings WHERE vec_id < 20),
-prs AS (SELECT src AS recv, dst AS send FROM edges WHERE src % 4 <> 3 UNION SELECT node, node FROM nd WHERE node % 4 <> 3),
-sc AS (SELECT recv, send, CASE WHEN a.q + b.k > 0 THEN a.q + b.k ELSE 0.2 * (a.q + b.k) END AS s, b.v FROM prs JOIN nd a ON a.node = recv JOIN nd b ON b.node = send),
-w AS (SELECT recv, send, v, exp(s - max(s) OVER (PARTITION BY recv)) AS e FROM sc),
-sm AS (SELECT recv, send, v, e / sum(e) OVER (PARTITION BY recv) AS weight FROM w),
-dim AS (SELECT CAST(unnest([0, 1]) AS INT) AS d)
-"""
 _ATT_ALL = """
 WITH nd AS (SELECT vec_id AS node, CAST(embedding[1] AS DOUBLE) AS q, CAST(embedding[2] AS DOUBLE) AS k, embedding AS e FROM embeddings),
 sz AS (SELECT max(node) + 1 AS n FROM nd),
@@ -389,8 +354,8 @@ QUERIES = {f.__name__: f for f in (
     od_pair_counts, od_adjacency, edge_list, edge_lengths, edge_speeds, line_graph, fixed_graph_self_loops, fixed_edge_features, induced_subgraph, zone_select_by_id, nation_od_counts,
     temporal_features, node_calendar_channels, calendar_split, split_windows, split_counts,
     norm_stats_counts, norm_stats_speed, normalize_counts, normalize_speed, denormalize_speed, denormalize_roundtrip, history_windows, target_windows,
-    profile_floor, speed_profile_mean, profile_slot_minutes, perturbed_profile,
-    segment_softmax, sparse_attention, segment_softmax_all, sparse_attention_all, dense_attention, gated_temporal_conv_lag, multi_task_loss, raw_metrics,
+    profile_floor, speed_profile_mean, perturbed_profile,
+    segment_softmax_all, sparse_attention_all, gated_temporal_conv_lag, multi_task_loss, raw_metrics,
 )}
 
 ORACLE_SQL = {
@@ -426,12 +391,8 @@ ORACLE_SQL = {
     "target_windows": _SERIES + "SELECT b.zone, CAST(b.idx AS INT) AS idx, CAST(h.p - b.idx - 12 AS INT) AS step, h.t, h.demand, h.supply FROM wind b JOIN pos h ON h.zone = b.zone AND h.p BETWEEN b.idx + 12 AND b.idx + 14",
     "profile_floor": _GRAPH + f"SELECT slot, edge_id, {_r('greatest(speed, 1.0)')} AS speed FROM speeds",
     "speed_profile_mean": _GRAPH + f"SELECT edge_id, {_r('avg(greatest(speed, 1.0))')} AS speed FROM speeds GROUP BY edge_id",
-    "profile_slot_minutes": "SELECT 15 AS averaged, 15 AS odd, 15 AS raw",
-    "segment_softmax": _ATT + f"SELECT recv, send, {_r('weight')} AS weight FROM sm",
-    "sparse_attention": _ATT + f"SELECT node, d, {_r(_ELU)} AS out FROM (SELECT node, d, coalesce(sum(weight * sm.v[d + 1]), 0) AS x FROM nd CROSS JOIN dim LEFT JOIN sm ON recv = node GROUP BY ALL)",
     "segment_softmax_all": _ATT_ALL + f"SELECT recv, send, {_r('weight')} AS weight FROM sm",
     "sparse_attention_all": _ATT_ALL + f"SELECT node, d, {_r(_ELU)} AS out FROM (SELECT node, d, coalesce(sum(weight * sm.v[d + 3]), 0) AS x FROM nd CROSS JOIN dim LEFT JOIN sm ON recv = node GROUP BY ALL)",
-    "dense_attention": _ATT + f", dn AS (SELECT a.node AS recv, b.node AS send, b.v, coalesce(sc.s, -1e9) AS s FROM nd a CROSS JOIN nd b LEFT JOIN sc ON sc.recv = a.node AND sc.send = b.node), dw AS (SELECT *, exp(s - max(s) OVER (PARTITION BY recv)) AS e FROM dn), ds AS (SELECT *, e / sum(e) OVER (PARTITION BY recv) AS weight FROM dw) SELECT node, d, {_r(_ELU)} AS out FROM (SELECT recv AS node, d, sum(weight * v[d + 1]) AS x FROM ds CROSS JOIN dim GROUP BY ALL)",
     "gated_temporal_conv_lag": _SERIES + f", xs AS (SELECT zone, t, ln(1 + demand) AS x0, coalesce(lag(ln(1 + demand), 2) OVER w, 0) AS x2, coalesce(lag(ln(1 + demand), 4) OVER w, 0) AS x4 FROM series WINDOW w AS (PARTITION BY zone ORDER BY t)), g AS (SELECT *, 1 / (1 + exp(-{_conv([0.4, 0.2, -0.6, 0.1])})) AS g FROM xs) SELECT zone, t, {_r(f'g * {_conv([0.2, -0.1, 0.5, 0.05])} + (1 - g) * {_conv([0.1, 0.3, -0.2, 0.0])}')} AS out FROM g",
     "multi_task_loss": _PERSIST + f", b AS (SELECT task, batch, avg(e * e) AS mse FROM err GROUP BY ALL), m AS (SELECT task, avg(mse) AS mse FROM b GROUP BY task) SELECT {_r('sum(mse * CASE WHEN task = $$demand$$ THEN 1.0 ELSE 0.5 END)')} AS loss FROM m",
     "raw_metrics": _PERSIST + f"SELECT task, count(*) AS n, {_r('sum(e * e) / count(*)')} AS mse, {_r('sqrt(sum(e * e) / count(*))')} AS rmse, {_r('sum(abs(e)) / count(*)')} AS mae FROM err GROUP BY task",

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.numbering import in_file_order
+
 TRIPS = T.StructType([T.StructField("tpep_pickup_datetime", T.TimestampNTZType()), T.StructField("tpep_dropoff_datetime", T.TimestampNTZType()), T.StructField("PULocationID", T.IntegerType()), T.StructField("DOLocationID", T.IntegerType()), T.StructField("trip_distance", T.DoubleType())])
 
 
@@ -22,7 +24,7 @@ def zones_csv(spark: SparkSession, path: str, lookup: DataFrame | None = None) -
     raw = spark.read.csv(path, header=True)
     out = raw.toDF(*[c.strip().lower() for c in raw.columns])
     if "index" not in out.columns:
-        out = out.withColumn("index", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
+        out = in_file_order(out, "index")
     out = out.withColumn("index", F.col("index").cast("int"))
     if "locationid" in out.columns:
         return out.withColumn("locationid", F.col("locationid").cast("double").cast("long"))
