@@ -21,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, keep
+from .common import WORD, documents, drop, keep
 
 #: Rounds of filling a source's rest: each takes those documents that still fit.
 ROUNDS = 3
-NEAR = 0.005
+NEAR, STALLS = 0.005, 5
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -61,23 +61,27 @@ def balanced(cells: DataFrame, families: list[str], tolerance: float = 1e-9) ->
     each family. rate is exp(sum of a dual number for each family's value), and the rates' sizes meet all targets. The
     dual's gradient is mass - target, and within a family its Hessian is the diagonal of the masses, so each step is a sum
     over cells by family; families take turns until no mass is off its target by more than tolerance of it, or, where
-    targets contradict each other, until a turn gets no nearer. A step is at most 1 up, which keeps it from overshooting.
+    targets contradict each other, until turns get no nearer (one, or STALLS while some mass is over a tenth off). A step is at most 1 up, which keeps it from overshooting.
     """
     size = F.col("size").cast("double")
     live = (size > 0) & F.lit(True)
     for f in families:
         live = live & (F.col(f"{f}_target") > 0)
-    cells, before = cells.withColumn("rate", F.when(live, 1.0).otherwise(0.0)), float("inf")
+    cells, before, stalls, last = cells.withColumn("rate", F.when(live, 1.0).otherwise(0.0)), float("inf"), 0, None
     while True:
         for f in families:
             mass = F.sum(size * F.col("rate")).over(Window.partitionBy(f))
             step = F.least(F.lit(1.0), F.col(f"{f}_target") / F.col("_mass") - 1)
             cells = cells.withColumn("_mass", mass).withColumn("rate", F.when(F.col("rate") > 0, F.col("rate") * F.exp(step)).otherwise(0.0)).drop("_mass")
         cells = keep(cells, "mix-newton")
+        if last is not None:
+            drop(last)
+        last = cells
         off = [F.max(F.when(F.col("rate") > 0, F.abs(F.col(f"_{f}") / F.col(f"{f}_target") - 1))).alias(f) for f in families]
         masses = cells.select("*", *[F.sum(size * F.col("rate")).over(Window.partitionBy(f)).alias(f"_{f}") for f in families])
         now = max([x for x in masses.agg(*off).first() if x is not None], default=0.0)
-        if now <= tolerance or now >= before * (1 - 1e-3) and now < 0.1:
+        stalls = stalls + 1 if now >= before * (1 - 1e-3) else 0
+        if now <= tolerance or stalls and now < 0.1 or stalls >= STALLS:
             return cells
         before = min(before, now)
 
