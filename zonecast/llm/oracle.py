@@ -75,7 +75,7 @@ FROM texts WINDOW same AS (PARTITION BY t)""",
 WITH urls AS (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
               coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 ruled AS (SELECT *, CASE {_RULED} END AS rule FROM urls),
-counted AS (SELECT host, count(rule) AS n, count(rule) FILTER (WHERE rule <> 'example.com/en/7') AS x FROM ruled GROUP BY host),
+counted AS (SELECT host, count(*) AS n, count(rule) FILTER (WHERE rule <> 'example.com/en/7') AS x FROM ruled GROUP BY host),
 tails AS (SELECT *, regexp_extract(host, '(?:[^.]*\\.)?[^.]*$') AS two FROM counted),
 named AS (SELECT host, n, x, CASE WHEN two IN {_LONG} THEN regexp_extract(host, '(?:[^.]*\\.)?(?:[^.]*\\.)?[^.]*$') ELSE two END AS domain,
           CASE WHEN two IN {_LONG} THEN two ELSE regexp_extract(host, '[^.]*$') END AS suffix FROM tails),
@@ -84,10 +84,11 @@ hosts AS (SELECT *, sum(n) OVER d AS domain_n, sum(x) OVER d AS domain_x, sum(n)
 domains AS (SELECT DISTINCT domain, domain_n AS n, domain_x AS x, suffix_n, suffix_x FROM hosts),
 suffixes AS (SELECT DISTINCT suffix, suffix_n AS n, suffix_x AS x, all_n, all_x FROM hosts),
 strengths AS (SELECT {_strength("suffixes", "all")} AS suffix_k, {_strength("domains", "suffix")} AS domain_k, {_strength("hosts", "domain")} AS host_k),
-first AS (SELECT *, (suffix_k * (all_x + 0.5) / (all_n + 1) + suffix_x) / (suffix_k + suffix_n) AS suffix_rate FROM hosts, strengths WHERE all_n > 0),
+capped AS (SELECT * REPLACE (least(suffix_k, greatest(all_n, 0.5)) AS suffix_k, least(domain_k, greatest(suffix_n, 0.5)) AS domain_k, least(host_k, greatest(domain_n, 0.5)) AS host_k) FROM hosts, strengths),
+first AS (SELECT *, (suffix_k * (all_x + 0.5) / (all_n + 1) + suffix_x) / (suffix_k + suffix_n) AS suffix_rate FROM capped WHERE all_n > 0),
 second AS (SELECT *, (domain_k * suffix_rate + domain_x) / (domain_k + domain_n) AS domain_rate FROM first),
-third AS (SELECT host, (host_k * domain_rate + x) / (host_k + n) AS rate, host_k + n AS weight FROM second),
-bad AS (SELECT host FROM third WHERE rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5)
+third AS (SELECT host, (all_x + 0.5) / (all_n + 1) AS mean, (host_k * domain_rate + x) / (host_k + n) AS rate, host_k + n AS weight FROM second),
+bad AS (SELECT host FROM third WHERE rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > mean)
 SELECT page_id, host, path, rule, CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL OR host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
     "op11_positional_index": f"""
 WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
