@@ -333,6 +333,24 @@ def test_predictions_and_rounds(spark, docs):
             assert got[r.doc_id].lang_pred == model.langs[int(total.argmax())] and abs(got[r.doc_id].score - 1 / share.sum()) < 1e-9
 
 
+def test_languages_in_blocks(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = {"de": "der hund und das haus", "en": "the dog and the house", "es": "el perro y la casa", "fr": "le chien et la maison", "it": "il cane e la casa"}
+    docs = [(i, " ".join([t] * (1 + i % 3) + [f"x{i}é"]), lang) for i, (lang, t) in enumerate(list(texts.items()) * 8)] + [(90, None, "en"), (91, "12 34", "fr"), (None, "the dog", None), (3, "la casa", "it"), (92, " \x1c\u2003the\x85house ", "en")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    whole = sorted(langid.identify(docs, docs, path).collect(), key=str)
+    for most in (1, 2, 4, 5):
+        parts = sorted(langid.identify(docs, docs, path, most=most).collect(), key=str)
+        assert [(r.doc_id, r.lang_pred) for r in parts] == [(r.doc_id, r.lang_pred) for r in whole]
+        assert np.allclose([r.score for r in parts], [r.score for r in whole], atol=1e-9)
+    found = {(r.doc_id, r.lang_pred) for r in whole}
+    assert {(90, "und"), (91, "und"), (None, "en"), (92, "en")} <= found and all((i, lang) in found for i, lang in enumerate(list(texts) * 8))
+    none = langid.identify(docs, docs.where("lang = 'xx'"), path).collect()
+    assert len(none) == docs.count() and all((r.lang_pred, r.score) == ("und", 0.0) for r in none)
+
+
 def test_languages(spark, folder, rows):
     got = {r.doc_id: r for r in run(spark, folder, "op3_")}
     assert len(got) == len(rows)
