@@ -14,6 +14,7 @@ from ..operators import graph as G
 from ..operators import routing as R
 from ..operators import series as S
 from ..operators import trips as T
+from ..sources.kept import once
 from ..sources.tables import event_times, event_trips
 
 ZONES, GRAPH_ZONES, SLOT, DAY = 10, 20, 60, 1440
@@ -23,13 +24,23 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _timed(spark, d, rule="mod20", zones=GRAPH_ZONES):
+    """Trips without slots: one scan of the events."""
+    return T.timed(T.in_zones(event_trips(_read(spark, d, "events"), rule), zones))
+
+
 def _trips(spark, d, rule="tens", zones=ZONES, slot=SLOT):
-    return T.prepared(event_trips(_read(spark, d, "events"), rule), zones, slot)
+    return T.slotted(once(_timed(spark, d, rule, zones), "trips"), slot)
+
+
+def _edges(trips):
+    """The cells are one row a pair of zones; numbering reads them several times."""
+    return G.edge_list(once(G.adjacency(trips), "cells"))
 
 
 def _graph(spark, d, slot=DAY):
-    trips = _trips(spark, d, "mod20", GRAPH_ZONES, slot)
-    return trips, G.edge_list(G.adjacency(trips))
+    trips = once(_timed(spark, d), "trips")
+    return T.slotted(trips, slot), _edges(trips)
 
 
 def _times(spark, d):
@@ -96,15 +107,15 @@ supply AS (SELECT slot, zone, CAST(demand AS BIGINT) AS demand, CAST(x - least(0
 
 
 def od_pair_counts(spark, d):
-    return G.pair_counts(_trips(spark, d, "mod20", GRAPH_ZONES, DAY))
+    return G.pair_counts(_timed(spark, d))
 
 
 def od_adjacency(spark, d):
-    return G.adjacency(_trips(spark, d, "mod20", GRAPH_ZONES, DAY))
+    return G.adjacency(_timed(spark, d))
 
 
 def edge_list(spark, d):
-    return _graph(spark, d)[1]
+    return _edges(_timed(spark, d))
 
 
 def edge_lengths(spark, d):
@@ -118,7 +129,7 @@ def edge_speeds(spark, d):
 
 
 def line_graph(spark, d):
-    return G.line_graph(_graph(spark, d)[1])
+    return G.line_graph(_edges(_timed(spark, d)))
 
 
 def _nodes(spark):
@@ -126,7 +137,7 @@ def _nodes(spark):
 
 
 def fixed_graph_self_loops(spark, d):
-    return G.with_loops(_graph(spark, d)[1], _nodes(spark))
+    return G.with_loops(_edges(_timed(spark, d)), _nodes(spark))
 
 
 def fixed_edge_features(spark, d):
@@ -136,7 +147,7 @@ def fixed_edge_features(spark, d):
 
 
 def induced_subgraph(spark, d):
-    return G.induced(_graph(spark, d)[1], _nodes(spark).where("node % 3 <> 1"))[1]
+    return G.induced(_edges(_timed(spark, d)), _nodes(spark).where("node % 3 <> 1"))[1]
 
 
 def zone_select_by_id(spark, d):
@@ -212,24 +223,24 @@ def norm_stats_speed(spark, d):
 
 
 def normalize_counts(spark, d):
-    rows = _series(spark, d)
+    rows = once(_series(spark, d), "series")
     return S.normalize_counts(rows, S.count_stats(rows)).select("t", "zone", rounded(F.col("demand")).alias("demand"), rounded(F.col("supply")).alias("supply"))
 
 
 def normalize_speed(spark, d):
-    rows = _speeds(spark, d)
+    rows = once(_speeds(spark, d), "speeds")
     return S.normalize_speed(rows, S.speed_stats(rows)).select("t", "edge_id", rounded(F.col("speed")).alias("speed"))
 
 
 def denormalize_speed(spark, d):
     """Speeds normalized and back."""
-    rows = _speeds(spark, d)
+    rows = once(_speeds(spark, d), "speeds")
     stats = S.speed_stats(rows)
     return S.normalize_speed(S.normalize_speed(rows, stats), stats, inverse=True).select("t", "edge_id", rounded(F.col("speed")).alias("speed"))
 
 
 def denormalize_roundtrip(spark, d):
-    rows = _series(spark, d)
+    rows = once(_series(spark, d), "series")
     stats = S.count_stats(rows)
     return S.denormalize_counts(S.normalize_counts(rows, stats), stats).select("t", "zone", F.round("demand").cast("long").alias("demand"), F.round("supply").cast("long").alias("supply"))
 
@@ -280,7 +291,7 @@ def speed_profile_mean(spark, d):
 
 
 def perturbed_profile(spark, d):
-    profile = _profile(spark, d)
+    profile = once(_profile(spark, d), "profile")
     size = profile.agg((F.coalesce(F.max("edge_id"), F.lit(-1)) + 1).alias("e"), (F.coalesce(F.max("slot"), F.lit(-1)) + 1).alias("s")).first()
     return R.perturbed(profile, size.e, size.s)
 
