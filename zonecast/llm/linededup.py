@@ -11,8 +11,8 @@ min_chars code points are never dropped. With keep_first the first occurrence (l
 stays.
 
 Null and empty texts are one empty line. Documents without dropped lines get a null bitmap. Rows that repeat a
-doc_id share one bitmap made of their lines together only if their texts are equal; give such rows ids first.
-Rows with a null doc_id keep all lines. An empty table gives no rows. Other columns are not read.
+doc_id count as one document of a line, but each text has its own bitmap: it is named by doc_id and copy, the 64-bit
+hash of the text, so rows of equal texts share theirs. Rows with a null doc_id keep all lines. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,12 +34,12 @@ def key_of(line: Column) -> Column:
 
 
 def keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """(key, salt, doc_id, pos) of each line that may be dropped."""
+    """(key, salt, doc_id, copy, pos) of each line that may be dropped."""
     return (
         docs.where("doc_id IS NOT NULL")
-        .select("doc_id", F.posexplode(F.transform(lines_of(F.col("text")), key_of)).alias("pos", "line"))
+        .select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.transform(lines_of(F.col("text")), key_of)).alias("pos", "line"))
         .where(F.length("line") >= max(min_chars, 1))
-        .select(F.unhex(F.md5("line")).alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "pos")
+        .select(F.unhex(F.md5("line")).alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "copy", "pos")
     )
 
 
@@ -51,25 +51,25 @@ def first_occurrences(lines: DataFrame) -> DataFrame:
 
 
 def bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_first: bool = True) -> DataFrame:
-    """(doc_id, n_dropped, dropped) for each document that loses lines.
+    """(doc_id, copy, n_dropped, dropped) for each document that loses lines.
 
     dropped: its dropped lines as a compressed bitmap, an array of (word, bits): bit b of word w stands for line
     64 * w + b, counted from 0; words without a dropped line are left out.
     """
     lines = keep(keys(docs, min_chars), "lines")
     common = keep(
-        first_occurrences(lines).groupBy("key", "salt").agg(F.sum(F.col("first").cast("long")).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "pos")).alias("at"))
+        first_occurrences(lines).groupBy("key", "salt").agg(F.sum(F.col("first").cast("long")).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "copy", "pos")).alias("at"))
         .groupBy("key").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.min("at").alias("at")).where(F.col("n") >= min_docs).select("key", "at", "rows"),
         "common",
     )
-    lost = join_hot(lines.select("key", "doc_id", "pos"), common, ["key"], "rows", max(1, lines.count()))
+    lost = join_hot(lines.select("key", "doc_id", "copy", "pos"), common, ["key"], "rows", max(1, lines.count()))
     if keep_first:
-        lost = lost.where(F.struct("doc_id", "pos") != F.col("at"))
-    # dealt by document once: both sums and a later join by doc_id stay where the rows are
-    words = lost.select("doc_id", F.shiftright("pos", 6).alias("word"), F.expr("shiftleft(1L, pos % 64)").alias("bit")).repartition("doc_id")
+        lost = lost.where(F.struct("doc_id", "copy", "pos") != F.col("at"))
+    # dealt by document once: both sums and a later join by doc_id and copy stay where the rows are
+    words = lost.select("doc_id", "copy", F.shiftright("pos", 6).alias("word"), F.expr("shiftleft(1L, pos % 64)").alias("bit")).repartition("doc_id", "copy")
     return (
-        words.groupBy("doc_id", "word").agg(F.bit_or("bit").alias("bits"))
-        .groupBy("doc_id").agg(F.sum(F.bit_count("bits").cast("long")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+        words.groupBy("doc_id", "copy", "word").agg(F.bit_or("bit").alias("bits"))
+        .groupBy("doc_id", "copy").agg(F.sum(F.bit_count("bits").cast("long")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
     )
 
 
@@ -86,7 +86,7 @@ def kept_text(text: Column, dropped: Column) -> Column:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     maps = bitmaps(docs, min_docs=10, min_chars=1, keep_first=False)
-    return docs.join(maps, "doc_id", "left").select(
+    return docs.withColumn("copy", F.xxhash64("text")).join(maps, ["doc_id", "copy"], "left").select(
         "doc_id",
         F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
