@@ -3,10 +3,12 @@
 A text is cut where a hash of its last WINDOW bytes has MASK bits clear, so equal passages are cut alike wherever
 they stand. Equal chunks get one identifier, the SHA-256 of the chunk, verified by comparing the bytes of all
 chunks that share it; where chunks of differing bytes share a digest, their bytes are the identifier. A document's recipe is its
-ordered list of identifiers, and only recipes are compared: a long document is never moved as a whole.
+ordered list of identifiers, and only recipes are compared: a long document is never moved as a whole. What is found
+of a group of equal recipes goes back to its rows by the digest of the text, or by the recipe if any two differing ones
+share a digest.
 
 Skew: a chunk or recipe that a third of all rows share is first combined on the map side (one row a task), and its
-group comes back to the rows by broadcast (join_hot).
+group comes back to the rows by broadcast (join_hot): fewer than 10,000 rows of 64 characters and a few numbers.
 
 Equality is of texts with A-Z lower-cased and null as empty: null and empty texts form one group. Of a group the
 largest doc_id stays (ties: one id). Rows with a null doc_id get kept = null as they name no row; their group
@@ -57,8 +59,8 @@ def cuts(data: bytes) -> list[int]:
     return [*ends, len(data)]
 
 
-def _cut(apart: frozenset[bytes], whole: bool):
-    """Batches of (row, text) to (row, text_sha256, recipe), or with whole to (digest, chunk)."""
+def _cut(apart: frozenset[bytes] | None, whole: bool):
+    """Batches of (row, text) to (row, text_sha256, recipe), or with whole to (digest, chunk). apart: digests that identify no chunk; None for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +75,7 @@ def _cut(apart: frozenset[bytes], whole: bool):
                         if whole:
                             digests.append(digest)
                             chunks.append(chunk)
-                        recipe.append(digest if digest not in apart else len(chunk).to_bytes(8, "big") + chunk)
+                        recipe.append(digest if apart is not None and digest not in apart else len(chunk).to_bytes(8, "big") + chunk)
                     names.append(hashlib.sha256(data).hexdigest())
                     out.append(b"".join(recipe))
                 if whole:
@@ -88,14 +90,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def clashes(docs: DataFrame) -> frozenset[bytes]:
-    """Digests under which chunks of differing bytes were found. None is known for SHA-256; over MOST_CLASHES is an error."""
+def clashes(docs: DataFrame) -> frozenset[bytes] | None:
+    """Digests under which chunks of differing bytes were found: none is known for SHA-256. Over MOST_CLASHES, None: no digest is trusted."""
     chunks = _texts(docs).mapInArrow(_cut(frozenset(), True), "digest binary, chunk binary")
     differ = chunks.groupBy("digest").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high")
     found = differ.select("digest").limit(MOST_CLASHES + 1).collect()
-    if len(found) > MOST_CLASHES:
-        raise ValueError(f"more than {MOST_CLASHES} digests stand for more than one chunk")
-    return frozenset(bytes(x.digest) for x in found)
+    return frozenset(bytes(x.digest) for x in found) if len(found) <= MOST_CLASHES else None
 
 
 def recipes(docs: DataFrame) -> DataFrame:
@@ -107,8 +107,12 @@ def recipes(docs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of each row."""
     rows = keep(recipes(docs), "recipes")
-    same = keep(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    joined = join_hot(rows, same, ["recipe"], "group_size", max(1, rows.count()))
+    same = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min("text_sha256").alias("text_sha256"))
+    named = keep(same.groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("recipes")), "groups")
+    if named.where("recipes > 1").isEmpty():
+        joined = join_hot(rows.drop("recipe"), named.drop("recipes"), ["text_sha256"], "group_size", max(1, rows.count()))
+    else:
+        joined = join_hot(rows, keep(same.drop("text_sha256"), "groups"), ["recipe"], "group_size", max(1, rows.count()))
     return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
