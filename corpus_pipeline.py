@@ -7,13 +7,13 @@ whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast.llm import exactdedup, mixing, packing, quality, setjoin
-from zonecast.llm.common import keep, lower_ascii, shared_dir
+from zonecast.llm.common import drop, keep, lower_ascii, settle
 
 #: SQL has no tokenizer, so the last stage is tested against a brute-force version.
 ORACLE_SQL = None
@@ -32,12 +32,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts (null counts as empty, A-Z as a-z): that of the largest doc_id.
 
-    Of rows that repeat it with the same text, one stays. A row without a doc_id stays only where no row of its group has one.
+    Of rows that repeat it with the same text, the one least as JSON stays, whatever the order of rows. A row without a doc_id stays only where no row of its group has one.
     """
     kept = exactdedup.groups(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
     rows = _rows(docs, id=docs["doc_id"], sha=F.sha2(lower_ascii(F.coalesce(docs["text"], F.lit(""))), 256))
     found = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["sha"] == kept["text_sha256"])).select("row", "id", "sha", "times")
-    again = found.where("times > 1").groupBy("id", "sha").agg(F.first("row").alias("row"))
+    again = found.where("times > 1").groupBy("id", "sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return found.where("times = 1").select("row").union(again.select("row")).select("row.*")
 
 
@@ -79,10 +79,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages on documents; each is written to the shared folder and read again. What came before it is deleted then, the last one when the process ends."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = settle(partial(stage, spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return docs

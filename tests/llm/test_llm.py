@@ -377,6 +377,16 @@ def test_first_lines_stay(spark):
     assert got == {1: 2}
 
 
+def test_texts_that_share_an_id_have_their_own_bitmaps(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (1, "d\nA"), (1, "d\nA"), (2, "a\n\nd"), (None, "a"), (3, None)], "doc_id int, text string")
+    maps = linededup.bitmaps(docs, min_docs=2, keep_first=False)
+    found = docs.withColumn("copy", F.xxhash64("text")).join(maps, ["doc_id", "copy"], "left")
+    got = sorted((str(r.doc_id), r.kept) for r in found.select("doc_id", linededup.kept_text(F.col("text"), F.col("dropped")).alias("kept")).collect())
+    assert got == [("1", ""), ("1", ""), ("1", "b\nc"), ("2", ""), ("3", ""), ("None", "a")]
+
+
 def test_packing(spark, folder, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -448,6 +458,26 @@ def test_exact(spark, folder, rows):
             assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256) == (max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_digests_that_clash_are_not_trusted(spark, folder, docs, monkeypatch):
+    answer = lambda: sorted(map(tuple, exactdedup.groups(docs.select("doc_id", "text")).collect()))
+    want = answer()
+    monkeypatch.setattr(exactdedup, "MOST_CLASHES", -1)  # over it: bytes instead of digests
+    assert exactdedup.clashes(docs) is None and answer() == want
+    made = spark.createDataFrame([(1, "same", b"x"), (2, "same", b"y"), (3, "same", b"x")], "doc_id long, text_sha256 string, recipe binary")
+    monkeypatch.setattr(exactdedup, "recipes", lambda _: made)  # two recipes under the digest of one text
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exactdedup.groups(docs).collect()) == [(1, 3, 2), (2, 2, 1), (3, 3, 2)]
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,0)", "date"])
+def test_ids_of_other_types_are_scored(spark, kind):
+    docs = spark.range(4).selectExpr(f"CAST({'date_add(DATE\'2024-01-01\', CAST(id AS INT))' if kind == 'date' else 'id'} AS {kind}) AS doc_id", "concat('words of ', id) AS text")
+    big = spark.createDataFrame([(2**53 + 1, "a"), (None, "b")], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    assert ids(lmscore.score_documents(docs, F.lit(True))) == ids(docs) and ids(lmscore.score_documents(big, F.lit(True))) == ids(big)
+
+
 def test_chunks_follow_content():
     data = np.random.default_rng(0).integers(97, 123, 60_000).astype(np.uint8).tobytes()
     split = lambda x: [x[a:b] for a, b in zip([0, *exactdedup.cuts(x)], exactdedup.cuts(x), strict=False)]
@@ -598,6 +628,25 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert stage["pack_sequences"](spark, mixed, "").count() == mixed.count()
 
 
+def test_of_repeated_rows_the_same_one_stays(spark):
+    import corpus_pipeline
+
+    rows = [(1, "text", "b", 2), (1, "text", "a", 3), (1, "text", "c", 1)]
+    for turn in range(3):
+        docs = spark.createDataFrame(rows[turn:] + rows[:turn], "doc_id long, text string, source string, n long").repartition(turn + 1)
+        assert [tuple(r) for r in corpus_pipeline.exact_dedup(spark, docs, "").collect()] == [(1, "text", "a", 3)]
+
+
+def test_tables_on_the_way_go(spark):
+    from zonecast.llm import common
+
+    before = set(common._written)
+    out = common.settle(lambda: common.keep(spark.range(5), "first").where("id > 2"), "second")
+    assert out.count() == 2 and len(set(common._written) - before) == 1
+    common.drop(out)
+    assert set(common._written) == before
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")

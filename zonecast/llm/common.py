@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 _written: list[str] = []
+_within: ContextVar[list[str] | None] = ContextVar("within", default=None)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -59,9 +62,26 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     _written.append(path)
+    if (within := _within.get()) is not None:
+        within.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that make() returns, written by keep(). The tables that make() kept on the way to it go then."""
+    within: list[str] = []
+    token = _within.set(within)
+    try:
+        out = keep(make(), name)
+    finally:
+        _within.reset(token)
+    for path in within[:-1]:
+        if path in _written:
+            _delete(out.sparkSession.sparkContext, path)
+            _written.remove(path)
+    return out
+
+
 def join_hot(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
     """Inner join of rows with table, which has one row a key and in count how many of the total rows have that key.
 
