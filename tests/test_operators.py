@@ -111,6 +111,16 @@ def test_readers_and_orientation(spark, tmp_path):
         tables.time_meta(bad, 2).collect()
 
 
+def test_zones_are_filled_by_place(spark, tmp_path):
+    (tmp_path / "z.csv").write_text("index,borough\n7,Q\n3,R\n5,S\n")
+    shapes = spark.createDataFrame([(1, 20, "B", "x"), (0, 10, "A", "x"), (2, None, "C", "x")], "index int, locationid int, zone string, borough string")
+    got = tables.zones_csv(spark, f"file://{tmp_path}/z.csv", shapes).orderBy("locationid")
+    assert sorted(got.columns) == ["borough", "index", "locationid", "zone_name"]
+    assert {(r["index"], r.borough, r.locationid, r.zone_name) for r in got.collect()} == {(7, "Q", 10, "A"), (3, "R", 20, "B"), (5, "S", None, "C")}
+    with pytest.raises(ValueError, match="lookup of 2"):
+        tables.zones_csv(spark, f"file://{tmp_path}/z.csv", shapes.limit(2))
+
+
 def test_noise_is_the_legacy_generators(spark):
     profile = spark.createDataFrame([(e, s, 2.0) for e in range(2) for s in range(3)], "edge_id int, slot int, speed double")
     got = {(r.edge_id, r.slot): r.speed for r in routing.perturbed(profile, 2, 3).collect()}

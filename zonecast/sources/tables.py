@@ -20,7 +20,11 @@ def trips_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zones_csv(spark: SparkSession, path: str, lookup: DataFrame | None = None) -> DataFrame:
-    """Zones with header names stripped and lower-cased. index is the row's place if absent; locationid comes from lookup (index, locationid) if absent."""
+    """Zones with header names stripped and lower-cased. index is the row's place if absent.
+
+    Where locationid is absent, it is that of lookup, whose index is the place of a row, from 0: (index, locationid), and
+    zone and borough, which fill zone_name and borough if these are absent. Both must have as many rows.
+    """
     raw = spark.read.csv(path, header=True)
     out = raw.toDF(*[c.strip().lower() for c in raw.columns])
     if "index" not in out.columns:
@@ -30,7 +34,13 @@ def zones_csv(spark: SparkSession, path: str, lookup: DataFrame | None = None) -
         return out.withColumn("locationid", F.col("locationid").cast("double").cast("long"))
     if lookup is None:
         raise ValueError("zones have no locationid: give a lookup of index and locationid")
-    return out.join(lookup.select("index", F.col("locationid").cast("long").alias("locationid")), "index")
+    filled = {"locationid": F.col("locationid").cast("long")}
+    filled |= {name: F.col(c) for name, c in (("zone_name", "zone"), ("borough", "borough")) if name not in out.columns and c in lookup.columns}
+    given, known = out.count(), lookup.count()
+    if given != known:
+        raise ValueError(f"{given} zones, but a lookup of {known}")
+    placed, by_place = in_file_order(out, "_place"), lookup.select(F.col("index").cast("long").alias("_place"), *[c.alias(n) for n, c in filled.items()])
+    return placed.join(by_place, "_place").drop("_place")
 
 
 def zones_of(spark: SparkSession, n: int) -> DataFrame:
