@@ -231,6 +231,25 @@ def _end_cost(own, cells, mixer, text):
     return -np.log2(np.where(events.bit[own_bits] == 1, p, 1 - p)).sum()
 
 
+def test_the_start_of_the_mixer_comes_from_all_blocks(spark):
+    import pandas as pd
+
+    r = random.Random(3)
+    n = 60
+    found = pd.DataFrame({"code": range(n), "word": None, "leaf": [float(i) for i in range(40)] + [None] * (n - 40), "c": [9] * n})
+    code = lmscore.WordCode(list(range(60, 20, -1)), 10, 5, 12, [i % 7 for i in range(256)])
+    texts = [np.array([min(n - 1, int(r.expovariate(0.02 * (b + 1)))) for _ in range(80 + 10 * b)], np.int32) for b in range(9)]
+    held = spark.createDataFrame([(f"b{min(b, 7)}", str(b), 1, bytearray(x.tobytes()), True) for b, x in enumerate(texts)] + [("b8", "x", 1, bytearray(), False)], "block string, doc_id string, n_bytes long, codes binary, taught boolean")
+    back = spark.createDataFrame([(f"b{b}", i, None, i if i < 40 else None, 9) for b in range(9) for i in range(n)], "of string, code int, word string, leaf int, c long")
+    counts, got = (x.value for x in lmscore.model(held, back, spark.sparkContext.broadcast(code)))
+    own = lmscore.Texts(code, found, True)
+    assert (counts == sum(events.sightings() for _, events, *_ in own.groups(texts))).all()
+    ends = [(len(x), lmscore.score(x, own, lmscore.Cells(counts, True), lmscore.Mixer(), True)[1]) for x in [[x] for x in texts[:7]] + [texts[7:]]]
+    refined = sum(k * m.refined for k, m in ends) / 9
+    refined *= lmscore.APM_WEIGHT / np.maximum(refined.sum(axis=-1, keepdims=True), lmscore.APM_WEIGHT)
+    assert np.allclose(got.weights, sum(k * m.weights for k, m in ends) / 9, atol=1e-6) and np.allclose(got.refined, refined, atol=1e-6)
+
+
 def test_cells_are_summed_over_blocks(spark, monkeypatch):
     import zlib as z
 

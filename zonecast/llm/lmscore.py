@@ -15,8 +15,9 @@ From the corpus: exact counts of all words, which grow with it, and counts of th
 texts, in SLOTS cells. The tree, the cells, the mixer and the refining table are broadcast; no input changes their
 size. Texts are read once and written as codes into the dictionary of their block (a run of documents in one task);
 dictionaries, not words, are shuffled and joined to their counts. The cells of blocks are summed in a tree of groups.
-The mixer's start comes from at most LEARNERS blocks, drawn by hash: it has a few hundred numbers. A learner leaves one
-sighting of each bit out, and words seen once are unknown to it, so that it is set for unseen text.
+The mixer's start comes from all learned texts: each block goes through its own from the same numbers, a few thousand,
+and what blocks end with is averaged, by their texts. A learner leaves one sighting of each bit out, and words seen once
+are unknown to it, so that it is set for unseen text.
 
 Null texts count as empty: the end alone. A null doc_id is not held out. Ids go through tasks as strings, so that they may be
 of any type that can be cast to a string and back. Repeated rows are learned from and scored as
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, keep
 
-TOP, SLOTS, STEP, SLICE, LEARNERS = 1 << 13, 1 << 20, 64, 40_000, 4
+TOP, SLOTS, STEP, SLICE = 1 << 13, 1 << 20, 64, 40_000
 #: A block of documents ends at so many bytes; cells are shuffled in SLICES parts, FAN of which are summed at once.
 BLOCK_BYTES, SLICES, FAN = 12_000_000, 16, 32
 DELTA, RATE, LIMIT, LEVELS, APM_WEIGHT = 0.4, 0.02, 8.0, 17, 20.0
@@ -142,8 +143,9 @@ class Events:
 
 def _earlier(key: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many zeros and ones of the same key come before each place."""
-    order = np.argsort(key, kind="stable")
-    key, ones = key[order], np.cumsum(bit[order]) - bit[order]
+    packed = np.sort((key.astype(np.int64) << 32) | np.arange(len(key)))  # a key's places in order
+    order, key = packed & 0xFFFFFFFF, packed >> 32
+    ones = np.cumsum(bit[order]) - bit[order]
     start = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0)) if len(key) else key
     one = np.empty(len(key), np.int64)
     seen = np.empty(len(key), np.int64)
@@ -168,16 +170,12 @@ def squash(x: np.ndarray) -> np.ndarray:
 class Cells:
     """Sightings of each cell, of a zero and of a one, and what they say of the next bit."""
 
-    def __init__(self, counts: np.ndarray):
-        self.zero, self.one = counts[0::2], counts[1::2]
-        self.seen, self.stretched = self.zero + self.one, stretch(self.zero, self.one)
-
-    def at(self, cells: np.ndarray, less: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """The stretched probability of a one, and the sightings. less: the bit, one sighting of which is left out."""
-        if less is None:
-            return self.stretched[cells], self.seen[cells]
-        zero, one = np.maximum(self.zero[cells] - (1 - less), 0), np.maximum(self.one[cells] - less, 0)
-        return stretch(zero, one), zero + one
+    def __init__(self, counts: np.ndarray, leave_out: bool = False):
+        """leave_out: two values a cell, one without a sighting of a zero, one without one of a one."""
+        zero, one = counts[0::2], counts[1::2]
+        if leave_out:
+            zero, one = np.stack([np.maximum(zero - 1, 0), zero], axis=1).ravel(), np.stack([one, np.maximum(one - 1, 0)], axis=1).ravel()
+        self.seen, self.stretched = zero + one, stretch(zero, one)
 
 
 def stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -186,27 +184,35 @@ def stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def inputs(events: Events, code: WordCode, cells: Cells, zero: np.ndarray, one: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched probabilities of a one, a row a context and one bias, and the gate of each bit. zero, one: what the text saw at its nodes."""
+    """Stretched probabilities of a one, a row a context and one bias, and the gate of each bit. zero, one: what the text saw at its nodes.
+
+    leave_out: one sighting of the bit at hand is left out of cells, which were made for that.
+    """
     cut = events.words
-    less = (events.bit[:cut], events.bit[cut:]) if leave_out else (None, None)
+    at = lambda own, part: 2 * own + events.bit[part] if leave_out else own
     x, gate = np.empty((INPUTS, len(events.bit)), np.float32), np.empty(len(events.bit), np.int64)
     x[0, :cut] = code.stretched[events.node]
-    x[1, :cut], after = cells.at(events.cells[0], less[0])
-    x[2, :cut], _ = cells.at(events.cells[1], less[0])
+    places = at(events.cells[0], slice(0, cut))
+    x[1, :cut], after = cells.stretched[places], cells.seen[places]
+    x[2, :cut] = cells.stretched[at(events.cells[1], slice(0, cut))]
     x[3, :cut] = stretch(zero, one)
     here = zero + one
     gate[:cut] = (np.minimum(events.depth, 5) * 3 + (here > 0) + (here > 3)) * 3 + (after > 0) + (after > 7)
-    after = here[:0]
-    for k, at in enumerate(events.byte_cells):
-        x[k, cut:], after = cells.at(at, less[1])
+    for k, own in enumerate(events.byte_cells):
+        places = at(own, slice(cut, None))
+        x[k, cut:] = cells.stretched[places]
+    after = cells.seen[places]
     gate[cut:] = WORD_GATES + np.minimum(events.position, 7) * 3 + (after > 0) + (after > 3)
     x[4] = 0.3
     return x, gate
 
 
-def run_through(events: Events, x: np.ndarray, gate: np.ndarray, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """Bits of each text. weights (text, gate, input) and refined (text, gate, level, bit) learn after each block of a text."""
-    cost, n_cells, half = np.zeros(len(weights)), len(weights) * GATES, LEVELS // 2
+def run_through(events: Events, x: np.ndarray, gate: np.ndarray, weights: np.ndarray, refined: np.ndarray, learn_only: bool = False) -> np.ndarray:
+    """Bits of each text. weights (text, gate, input) and refined (text, gate, level, bit) learn after each block of a text.
+
+    Texts come longest first, so that those that go on at a block are the first ones. learn_only: the bits are left at 0.
+    """
+    cost, half = np.zeros(len(weights)), LEVELS // 2
     columns = [np.ascontiguousarray(weights[:, :, k].ravel()) for k in range(INPUTS)]
     flat, places = refined.reshape(-1), events.text * GATES + gate
     for part in (slice(0, events.words), slice(events.words, None)):
@@ -215,17 +221,20 @@ def run_through(events: Events, x: np.ndarray, gate: np.ndarray, weights: np.nda
         for low, high in zip(ends[:-1], ends[1:], strict=True):
             own = slice(low, high)
             at, bit, rows = places[own], events.bit[own], x[:, own]
+            live = int(events.text[own].max()) + 1
+            n_cells = live * GATES
             dot = sum(w[at] * row for w, row in zip(columns, rows, strict=True))
             mixed = squash(dot)
             level = 2 * (at * LEVELS + (np.clip(np.rint(dot * np.float32(half / LIMIT)), -half, half).astype(np.int64) + half))
-            one = flat[level + 1]
-            p = np.clip((mixed + one / (one + flat[level])) * np.float32(0.5), np.float32(1e-5), np.float32(1 - 1e-5))
-            cost += np.bincount(events.text[own], -np.log2(np.where(bit == 1, p, 1 - p)), len(weights))
+            if not learn_only:
+                one = flat[level + 1]
+                p = np.clip((mixed + one / (one + flat[level])) * np.float32(0.5), np.float32(1e-5), np.float32(1 - 1e-5))
+                cost[:live] += np.bincount(events.text[own], -np.log2(np.where(bit == 1, p, 1 - p)), live)
             # one step a gate and text: the sum of the block's gradients over the root of their number
             n = np.bincount(at, minlength=n_cells)
             step = (bit.astype(np.float32) - mixed) * (RATE / np.sqrt(np.maximum(n, 1))).astype(np.float32)[at]
             for w, row in zip(columns, rows, strict=True):
-                w += np.bincount(at, step * row, n_cells).astype(np.float32)
+                w[:n_cells] += np.bincount(at, step * row, n_cells)
             np.add.at(flat, level + bit, np.float32(1))
     for k, w in enumerate(columns):
         weights[:, :, k] = w.reshape(weights.shape[:2])
@@ -264,6 +273,7 @@ class Texts:
             yield self._events(group, texts)
 
     def _events(self, group: list[tuple[int, int, int]], texts: list[np.ndarray]):
+        group = sorted(group, key=lambda x: x[1] - x[2])  # the longest first
         start = len(self.code.offsets)  # stands before a text
         leaves, before, words, used = [], [], [], []
         for i, low, high in group:
@@ -279,7 +289,10 @@ class Texts:
 
 
 def score(texts: list[np.ndarray], own: Texts, cells: Cells, mixer: Mixer, leave_out: bool = False) -> tuple[np.ndarray, Mixer]:
-    """Bits of each text, but for the shares of rarer words; and the mixer as the texts left it, on average."""
+    """Bits of each text, but for the shares of rarer words; and the mixer as the texts left it, on average.
+
+    leave_out: only the mixer is learned, from cells made to leave a sighting out.
+    """
     bits, weights, refined, n = np.zeros(len(texts)), np.zeros((GATES, INPUTS)), np.zeros((GATES, LEVELS, 2)), 0
     w = r = past = None
     for which, events, _, first in own.groups(texts):
@@ -294,7 +307,7 @@ def score(texts: list[np.ndarray], own: Texts, cells: Cells, mixer: Mixer, leave
             now = [np.bincount(events.node, events.bit[:cut] == b, len(own.code.offsets)).astype(np.int64) for b in (0, 1)]
             past = now if past is None else [a + b for a, b in zip(past, now, strict=True)]
         x, gate = inputs(events, own.code, cells, zero, one, leave_out)
-        bits[which] += run_through(events, x, gate, w, r)
+        bits[which] += run_through(events, x, gate, w, r, leave_out)
         if leave_out:
             weights += w.sum(axis=0)
             refined += (r - mixer.refined).sum(axis=0)
@@ -389,20 +402,21 @@ def model(held: DataFrame, back: DataFrame, code) -> tuple:
 
     def learned(documents_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         mixer, texts = Mixer(), _codes(documents_)
-        own, cells = Texts(code.value, found, True), Cells(counts.value)
+        if not texts:
+            return pd.DataFrame({"place": pd.Series(dtype=int), "value": pd.Series(dtype=float)})
+        own, cells = Texts(code.value, found, True), Cells(counts.value, True)
         for low in range(0, len(texts), 50):  # each run of texts starts where the one before ended
             part = texts[low : low + 50]
             mixer = score(part, own, cells, mixer, True)[1]
-        values = np.concatenate([[1.0], mixer.weights.ravel(), mixer.refined.ravel()])
+        values = len(texts) * np.concatenate([[1.0], mixer.weights.ravel(), mixer.refined.ravel()])
         return pd.DataFrame({"place": np.arange(len(values)), "value": values})
 
-    blocks = held.select("block").distinct().orderBy(F.xxhash64("block"), "block").limit(LEARNERS)
-    some = held.join(F.broadcast(blocks), "block", "left_semi").groupBy("block")
-    few = back.join(F.broadcast(blocks.withColumnRenamed("block", "of")), "of", "left_semi").groupBy("of")
-    found = some.cogroup(few).applyInPandas(learned, "place int, value double").groupBy("place").agg(F.avg("value").alias("value")).orderBy("place").collect()  # a mixer
+    ends = keep(held.groupBy("block").cogroup(back.groupBy("of")).applyInPandas(learned, "place int, value double"), "mixers")
+    found = ends.groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").collect()  # a mixer
     mixer = Mixer()
     if found:
-        values, n = np.array([x.value for x in found])[1:], mixer.weights.size
+        values, n = np.array([x.value for x in found]), mixer.weights.size
+        values = values[1:] / values[0]
         mixer.weights, mixer.refined = values[:n].reshape(mixer.weights.shape), values[n:].reshape(mixer.refined.shape)
         # the table goes on from its shape, with the weight of APM_WEIGHT sightings
         mixer.refined *= APM_WEIGHT / np.maximum(mixer.refined.sum(axis=-1, keepdims=True), APM_WEIGHT)
