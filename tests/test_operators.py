@@ -77,6 +77,24 @@ def test_deviation_rules_and_inverse(spark):
         series.count_stats(rows.selectExpr("t", "zone", "-demand AS demand", "supply", "split")).collect()
 
 
+def test_attention_shuffles_vectors_by_node_not_by_pair(spark):
+    rng, n, width = np.random.default_rng(5), 240, 62
+    q, k, v = rng.normal(0, 2, n), rng.normal(0, 2, n), rng.normal(0, 1, (n, width))
+    v[7, 1:] = 0.0
+    nodes = spark.createDataFrame([(i, float(q[i]), float(k[i]), v[i, : 1 if i == 7 else width].tolist()) for i in range(n)] + [(None, 1.0, 1.0, [1.0]), (n, None, None, None)], "node int, q double, k double, v array<double>").localCheckpoint()
+    pairs = spark.range(n * n).selectExpr(f"id div {n} AS recv", f"id % {n} AS send").where("recv != 3").union(spark.createDataFrame([(None, 1), (1, None), (1, n), (n, 1), (1, n + 5)], "recv long, send long")).localCheckpoint()
+    out = attention.sparse_attention(nodes, pairs, width)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "CoGroup" in plan  # nodes come to pairs by cells, so that no row of a pair has a vector
+    got = {(r.node, r.d): r.out for r in out.collect()}
+    score = q[:, None] + k[None]
+    grown = np.exp(np.where(score > 0, score, 0.2 * score))
+    want = grown @ v / grown.sum(axis=1, keepdims=True)
+    want[3] = 0
+    assert np.allclose([[got[i, d] for d in range(width)] for i in range(n)], np.where(want > 0, want, np.expm1(want)), rtol=1e-9, atol=1e-12)
+    assert {got[n, d] for d in range(width)} == {0.0}
+
+
 def test_isolated_node_is_zero_in_sparse_and_mean_in_dense_attention(spark):
     nodes = spark.createDataFrame([(i, 0.1 * i, 0.2, [float(i), 1.0]) for i in range(3)], "node int, q double, k double, v array<double>")
     pairs = spark.createDataFrame([(0, 1), (0, 0)], "recv int, send int")
