@@ -14,7 +14,7 @@ each block of STEP words, from a start that all texts share. All texts of a grou
 From the corpus: exact counts of all words, which grow with it, and counts of the hashed contexts, from all learned
 texts, in SLOTS cells. The tree, the cells, the mixer and the refining table are broadcast; no input changes their
 size. Texts are read once and written as codes into the dictionary of their block (a run of documents in one task);
-dictionaries, not words, are shuffled and joined to their counts. The cells of blocks are summed in a tree of groups.
+dictionaries, not words, are shuffled and joined to their counts, and go back to a row a block. The cells of blocks are summed in a tree of groups.
 The mixer's start comes from all learned texts: each block goes through its own from the same numbers, a few thousand,
 and what blocks end with is averaged, by their texts. A learner leaves one sighting of each bit out, and words seen once
 are unknown to it, so that it is set for unseen text.
@@ -64,7 +64,7 @@ class Code:
             parent[left] = parent[right] = node
             side[right], sums[node] = 1, (a, b)
             heapq.heappush(heap, (a + b, n + node))
-        self.stretched = np.clip(np.log((sums[:, 1] + DELTA) / (sums[:, 0] + DELTA)), -LIMIT, LIMIT)
+        self.stretched = np.clip(np.log((sums[:, 1] + DELTA) / (sums[:, 0] + DELTA)), -LIMIT, LIMIT).astype(np.float32)
         at, paths = np.arange(n), []
         while (parent[at] >= 0).any():
             paths.append((np.where(parent[at] >= 0, parent[at], -1), side[at]))
@@ -72,13 +72,16 @@ class Code:
         nodes, bits = (np.array([x[i] for x in reversed(paths)]).T for i in (0, 1))
         live = nodes >= 0
         self.nodes, self.bits, self.offsets = nodes[live], bits[live], np.append(0, np.cumsum(live.sum(axis=1)))
+        self.spread = spread(np.arange(n - 1))
+        self.steps = self.nodes << 8 | np.minimum(_runs(live.sum(axis=1))[1], 127) << 1 | self.bits  # read at once
 
     def path(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The leaf, depth, node and bit of each step of the leaves' paths laid end to end."""
+        """The length of each leaf's path; the depth (127 at most), node and bit of each step of the paths laid end to end."""
         lengths = self.offsets[leaves + 1] - self.offsets[leaves]
-        of, depth = _runs(lengths)
-        at = np.repeat(self.offsets[leaves], lengths) + depth
-        return of, depth, self.nodes[at], self.bits[at]
+        at = np.repeat(self.offsets[leaves] - np.cumsum(lengths) + lengths, lengths)
+        at += np.arange(len(at))
+        steps = self.steps[at]
+        return lengths, (steps >> 1) & 127, steps >> 8, steps & 1
 
 
 class WordCode(Code):
@@ -97,13 +100,18 @@ def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def slot(kind: int, node: np.ndarray, *context: np.ndarray) -> np.ndarray:
-    """The cell of each node in a hashed context."""
-    h = node.astype(np.uint64) * _M + np.uint64(kind)
-    for x in context:
-        h = ((h ^ (h >> np.uint64(29))) + x.astype(np.uint64)) * _N
+def spread(*values: np.ndarray | int) -> np.ndarray:
+    """A hash of rows of values, below SLOTS."""
+    h = np.zeros(1, np.uint64)
+    for x in values:
+        h = ((h ^ (h >> np.uint64(29))) + np.asarray(x).astype(np.uint64)) * _N
     h = (h ^ (h >> np.uint64(32))) * _M
-    return (h >> _SHIFT).astype(np.int64)
+    return ((h ^ (h >> np.uint64(29))) * _N >> _SHIFT).astype(np.int64)
+
+
+def slot(kind: int, node: np.ndarray, *context: np.ndarray) -> np.ndarray:
+    """The cell of each node in a hashed context: both are hashed apart, as a context has many nodes."""
+    return spread(node) ^ spread(kind, *context)
 
 
 class Events:
@@ -118,21 +126,16 @@ class Events:
         unknown = leaves == code.unknown
         spelt = (np.cumsum(unknown) - 1)[by_block[unknown[by_block]]].tolist()
         leaves, text, place, before, words = leaves[by_block], text[by_block], place[by_block], before[by_block], [words[i] for i in spelt]
-        of, self.depth, self.node, bit = code.path(leaves)
-        last, second = before[of, 0], before[of, 1]
-        self.words = len(of)
-        self.cells = [slot(1, self.node, last), slot(2, self.node, last, second)]
-        # an unknown word's bytes, its end as 0
-        data = np.frombuffer(b"".join(x + b"\0" for x in words), np.uint8)
-        whose, k = _runs(np.array([len(x) + 1 for x in words], np.int64))
-        back = [np.where(k >= i, np.roll(data, i), 0) for i in (1, 2, 3)]
-        letter, self.position, node, letter_bit = code.letters.path(data.astype(np.int64))
-        one, two, three = (x[letter] for x in back)
-        self.byte_cells = [slot(3, node), slot(4, node, one), slot(5, node, one, two), slot(6, node, one, two, three)]
-        spelt = np.flatnonzero(leaves == code.unknown)[whose[letter]]
-        self.text = np.concatenate([text[of], text[spelt]])
-        self.block = np.concatenate([place[of], place[spelt]]) // STEP
-        self.bit = np.concatenate([bit, letter_bit]).astype(np.int64)
+        lengths, self.depth, self.node, bit = code.path(leaves)
+        self.words, at = len(bit), code.spread[self.node]
+        last, second = before[:, 0], before[:, 1]
+        self.cells = [at ^ np.repeat(x, lengths) for x in (spread(1, last), spread(2, last, second))]
+        whose, letter_lengths, self.position, letter_bit, self.byte_cells = _spelt(code, words)
+        spelt = np.flatnonzero(leaves == code.unknown)[whose]
+        self.text = np.repeat(np.append(text, text[spelt]), np.append(lengths, letter_lengths))
+        self.bit = np.concatenate([bit, letter_bit])
+        #: (first, past the last, texts) of each block of bits, of the words and then of the bytes.
+        self.blocks = [*_blocks(place, text, lengths, 0), *_blocks(place[spelt], text[spelt], letter_lengths, self.words)]
 
     def sightings(self) -> np.ndarray:
         """How often each cell saw a zero and a one."""
@@ -141,16 +144,47 @@ class Events:
         return np.bincount(at, minlength=2 * SLOTS)
 
 
+def _spelt(code: WordCode, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The bytes of unknown words, their ends as 0: of each byte its word and its number of bits; depth, bit and cells of each bit."""
+    data = np.frombuffer(b"".join(x + b"\0" for x in words), np.uint8)
+    whose, k = _runs(np.array([len(x) + 1 for x in words], np.int64))
+    one, two, three = (np.where(k >= i, np.roll(data, i), 0) for i in (1, 2, 3))
+    lengths, depth, node, bit = code.letters.path(data.astype(np.int64))
+    at = code.letters.spread[node]
+    cells = [at ^ spread(3), *(at ^ np.repeat(x, lengths) for x in (spread(4, one), spread(5, one, two), spread(6, one, two, three)))]
+    return whose, lengths, depth, bit, cells
+
+
+def _blocks(place: np.ndarray, text: np.ndarray, lengths: np.ndarray, start: int) -> list[tuple[int, int, int]]:
+    """Of items in order of blocks, each so many bits long: the bits of each block from start on, and how many texts have come so far."""
+    if not len(place):
+        return []
+    block = place // STEP
+    first = np.append(0, np.flatnonzero(block[1:] != block[:-1]) + 1)
+    ends = start + np.append(0, np.cumsum(lengths))[np.append(first, len(place))]
+    return list(zip(ends[:-1].tolist(), ends[1:].tolist(), (np.maximum.reduceat(text, first) + 1).tolist(), strict=True))
+
+
 def _earlier(key: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many zeros and ones of the same key come before each place."""
-    packed = np.sort((key.astype(np.int64) << 32) | np.arange(len(key)))  # a key's places in order
-    order, key = packed & 0xFFFFFFFF, packed >> 32
-    ones = np.cumsum(bit[order]) - bit[order]
-    start = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0)) if len(key) else key
-    one = np.empty(len(key), np.int64)
-    seen = np.empty(len(key), np.int64)
-    one[order], seen[order] = ones - ones[start], np.arange(len(key)) - start
-    return seen - one, one
+    packed = key.astype(np.int64)  # a key's places in order, with their bits
+    packed <<= 32
+    packed |= np.arange(len(key)) << 1
+    packed |= bit
+    packed.sort()
+    low, key = packed.astype("<i8", copy=False).view("<i4").reshape(-1, 2).T
+    bit, place = low & 1, np.arange(len(low), dtype=np.int32)
+    ones = np.cumsum(bit, dtype=np.int32)
+    ones -= bit
+    start = place.copy()
+    start[1:] *= key[1:] != key[:-1]
+    np.maximum.accumulate(start, out=start)
+    ones -= ones[start]
+    place -= start
+    place -= ones
+    order, both = low >> 1, np.empty((2, len(low)), np.int32)
+    both[0, order], both[1, order] = place, ones
+    return both[0], both[1]
 
 
 class Mixer:
@@ -175,7 +209,9 @@ class Cells:
         zero, one = counts[0::2], counts[1::2]
         if leave_out:
             zero, one = np.stack([np.maximum(zero - 1, 0), zero], axis=1).ravel(), np.stack([one, np.maximum(one - 1, 0)], axis=1).ravel()
-        self.seen, self.stretched = zero + one, stretch(zero, one)
+        seen = zero + one
+        #: None, up to 3, up to 7, or more sightings.
+        self.grade, self.stretched = (seen > 0).astype(np.int8) + (seen > 3) + (seen > 7), stretch(zero, one)
 
 
 def stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -188,57 +224,78 @@ def inputs(events: Events, code: WordCode, cells: Cells, zero: np.ndarray, one:
 
     leave_out: one sighting of the bit at hand is left out of cells, which were made for that.
     """
-    cut = events.words
+    cut, n = events.words, len(events.bit)
     at = lambda own, part: 2 * own + events.bit[part] if leave_out else own
-    x, gate = np.empty((INPUTS, len(events.bit)), np.float32), np.empty(len(events.bit), np.int64)
-    x[0, :cut] = code.stretched[events.node]
-    places = at(events.cells[0], slice(0, cut))
-    x[1, :cut], after = cells.stretched[places], cells.seen[places]
-    x[2, :cut] = cells.stretched[at(events.cells[1], slice(0, cut))]
-    x[3, :cut] = stretch(zero, one)
-    here = zero + one
-    gate[:cut] = (np.minimum(events.depth, 5) * 3 + (here > 0) + (here > 3)) * 3 + (after > 0) + (after > 7)
-    for k, own in enumerate(events.byte_cells):
-        places = at(own, slice(cut, None))
-        x[k, cut:] = cells.stretched[places]
-    after = cells.seen[places]
-    gate[cut:] = WORD_GATES + np.minimum(events.position, 7) * 3 + (after > 0) + (after > 3)
+    x, gate = np.empty((INPUTS, n), np.float32), np.empty(n, np.int64)
+    words, letters = slice(0, cut), slice(cut, n)
+    code.stretched.take(events.node, out=x[0, words], mode="clip")
+    places = at(events.cells[0], words)
+    cells.stretched.take(places, out=x[1, words], mode="clip")
+    after = cells.grade[places]
+    cells.stretched.take(at(events.cells[1], words), out=x[2, words], mode="clip")
+    x[3, words] = stretch(zero, one)
+    here, own = zero + one, gate[words]
+    np.minimum(events.depth, 5, out=own)
+    own *= 3
+    own += here > 0
+    own += here > 3
+    own *= 3
+    own += (after + np.int8(1)) >> 1
+    for k, byte_cells in enumerate(events.byte_cells):
+        places = at(byte_cells, letters)
+        cells.stretched.take(places, out=x[k, letters], mode="clip")
+    gate[letters] = WORD_GATES + np.minimum(events.position, 7) * 3 + np.minimum(cells.grade[places], 2)
     x[4] = 0.3
     return x, gate
 
 
-def run_through(events: Events, x: np.ndarray, gate: np.ndarray, weights: np.ndarray, refined: np.ndarray, learn_only: bool = False) -> np.ndarray:
-    """Bits of each text. weights (text, gate, input) and refined (text, gate, level, bit) learn after each block of a text.
+def run_through(events: Events, x: np.ndarray, gate: np.ndarray, weights: np.ndarray, refined: np.ndarray | None) -> np.ndarray:
+    """Bits of each text. weights (input, text x gate) and refined (text x gate x level x bit) learn after each block of a text.
 
-    Texts come longest first, so that those that go on at a block are the first ones. learn_only: the bits are left at 0.
+    Texts come longest first, so that those that go on at a block are the first ones. Without refined, nothing is
+    priced: the sightings of all texts by gate, level and bit come back instead.
     """
-    cost, half = np.zeros(len(weights)), LEVELS // 2
-    columns = [np.ascontiguousarray(weights[:, :, k].ravel()) for k in range(INPUTS)]
-    flat, places = refined.reshape(-1), events.text * GATES + gate
-    for part in (slice(0, events.words), slice(events.words, None)):
-        blocks = events.block[part]
-        ends = part.start + np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), len(blocks)) if len(blocks) else ()
-        for low, high in zip(ends[:-1], ends[1:], strict=True):
-            own = slice(low, high)
-            at, bit, rows = places[own], events.bit[own], x[:, own]
-            live = int(events.text[own].max()) + 1
-            n_cells = live * GATES
-            dot = sum(w[at] * row for w, row in zip(columns, rows, strict=True))
-            mixed = squash(dot)
-            level = 2 * (at * LEVELS + (np.clip(np.rint(dot * np.float32(half / LIMIT)), -half, half).astype(np.int64) + half))
-            if not learn_only:
-                one = flat[level + 1]
-                p = np.clip((mixed + one / (one + flat[level])) * np.float32(0.5), np.float32(1e-5), np.float32(1 - 1e-5))
-                cost[:live] += np.bincount(events.text[own], -np.log2(np.where(bit == 1, p, 1 - p)), live)
-            # one step a gate and text: the sum of the block's gradients over the root of their number
-            n = np.bincount(at, minlength=n_cells)
-            step = (bit.astype(np.float32) - mixed) * (RATE / np.sqrt(np.maximum(n, 1))).astype(np.float32)[at]
-            for w, row in zip(columns, rows, strict=True):
-                w[:n_cells] += np.bincount(at, step * row, n_cells)
-            np.add.at(flat, level + bit, np.float32(1))
-    for k, w in enumerate(columns):
-        weights[:, :, k] = w.reshape(weights.shape[:2])
-    return cost
+    places = events.text * GATES
+    places += gate
+    sign = (2 * events.bit - 1).astype(np.float32)
+    dots, off = np.empty((2, len(gate)), np.float32)  # off: the bit less its probability
+    for low, high, live in events.blocks:
+        own, n = slice(low, high), live * GATES
+        at, rows, z = places[own], x[:, own], off[own]
+        dot = np.add.reduce(weights.take(at, axis=1) * rows, axis=0, out=dots[own])
+        np.multiply(dot, sign[own], out=z)
+        np.minimum(z, LIMIT + 4, out=z)
+        np.maximum(z, -LIMIT - 4, out=z)
+        np.exp(z, out=z)
+        z += 1
+        np.divide(sign[own], z, out=z)
+        # one step a gate and text: the sum of the block's gradients over the root of their number
+        rates = RATE / np.sqrt(np.maximum(np.bincount(at, minlength=n), 1))
+        for own_weights, step in zip(weights, rows * (z * rates.astype(np.float32).take(at)), strict=True):
+            np.add.at(own_weights, at, step)
+    half = LEVELS // 2
+    dots *= half / LIMIT
+    np.rint(dots, out=dots)
+    np.clip(dots, -half, half, out=dots)
+    dots += half
+    level = (gate if refined is None else places) * LEVELS
+    level += dots.astype(np.int64)
+    seen = 2 * level + events.bit
+    if refined is None:
+        return np.bincount(seen, minlength=2 * GATES * LEVELS)
+    pairs, both = np.empty(len(level), np.complex64), refined.view(np.complex64)  # the counts of a zero and of a one
+    for low, high, _ in events.blocks:
+        both.take(level[low:high], out=pairs[low:high], mode="clip")
+        np.add.at(refined, seen[low:high], np.float32(1))
+    pairs = pairs.view(np.float32)
+    p = pairs[2 * np.arange(len(level)) + events.bit]
+    p /= pairs[0::2] + pairs[1::2]
+    off *= sign
+    p -= off
+    p += 1
+    p *= np.float32(0.5)
+    np.clip(p, 1e-5, 1 - 1e-5, out=p)
+    return np.bincount(events.text, np.log(p, out=p), int(events.text.max()) + 1) / -math.log(2)
 
 
 class Texts:
@@ -288,33 +345,63 @@ class Texts:
         return [i for i, *_ in group], Events(self.code, np.concatenate(leaves), text, place, np.concatenate(before), words), np.concatenate(used), group[0][1] == 0
 
 
+def sightings(texts: list[np.ndarray], own: Texts) -> np.ndarray:
+    """How often each cell saw a zero and a one in all texts: the sum of their events' sightings.
+
+    Words that recur after the same one or two words are counted first, so that their paths are gone through once.
+    """
+    code, total, some = own.code, np.zeros(2 * SLOTS, np.int64), SLICE
+    start, span = len(code.offsets), len(code.offsets) + 1
+    leaves = np.concatenate([y for x in texts for y in ([start, start], own.leaf[x], [code.end])])
+    at = np.flatnonzero(leaves != start)
+    pairs = leaves[at - 1] * span + leaves[at]
+    for kind, keys in ((1, pairs), (2, leaves[at - 2] * span**2 + pairs)):
+        keys, counts = np.unique(keys, return_counts=True)
+        for low in range(0, len(keys), some):
+            before, leaf = np.divmod(keys[low : low + some], span)
+            lengths, _, node, bit = code.path(leaf)
+            cells = code.spread[node] ^ np.repeat(spread(kind, *((before,) if kind == 1 else (before % span, before // span))), lengths)
+            np.add.at(total, 2 * cells + bit, np.repeat(counts[low : low + some], lengths))
+    codes = np.concatenate(texts)
+    words = own.words[codes[own.leaf[codes] == code.unknown]]
+    for low in range(0, len(words), some):
+        *_, bit, cells = _spelt(code, words[low : low + some].tolist())
+        for x in cells:
+            np.add.at(total, 2 * x + bit, 1)
+    return total
+
+
 def score(texts: list[np.ndarray], own: Texts, cells: Cells, mixer: Mixer, leave_out: bool = False) -> tuple[np.ndarray, Mixer]:
     """Bits of each text, but for the shares of rarer words; and the mixer as the texts left it, on average.
 
     leave_out: only the mixer is learned, from cells made to leave a sighting out.
     """
-    bits, weights, refined, n = np.zeros(len(texts)), np.zeros((GATES, INPUTS)), np.zeros((GATES, LEVELS, 2)), 0
+    bits, weights, refined, n = np.zeros(len(texts)), np.zeros((GATES, INPUTS)), np.zeros(mixer.refined.size), 0
     w = r = past = None
-    for which, events, _, first in own.groups(texts):
+    order = np.argsort([-len(x) for x in texts], kind="stable")  # texts of like length end together
+    for which, events, _, first in own.groups([texts[i] for i in order]):
         if first:
-            w, r = (np.repeat(a[None].astype(np.float32), len(which), axis=0) for a in (mixer.weights, mixer.refined))
+            w = np.tile(mixer.weights.T.astype(np.float32), len(which))
+            r = None if leave_out else np.tile(mixer.refined.astype(np.float32).ravel(), len(which))
             past = None
         cut = events.words
-        zero, one = _earlier((events.text[:cut] * len(own.code.offsets) + events.node).astype(np.int32), events.bit[:cut])
+        zero, one = _earlier(events.text[:cut] * len(own.code.offsets) + events.node, events.bit[:cut])
         if past is not None:
             zero, one = zero + past[0][events.node], one + past[1][events.node]
         if len(which) == 1:  # may go on
             now = [np.bincount(events.node, events.bit[:cut] == b, len(own.code.offsets)).astype(np.int64) for b in (0, 1)]
             past = now if past is None else [a + b for a, b in zip(past, now, strict=True)]
         x, gate = inputs(events, own.code, cells, zero, one, leave_out)
-        bits[which] += run_through(events, x, gate, w, r, leave_out)
+        found = run_through(events, x, gate, w, r)
         if leave_out:
-            weights += w.sum(axis=0)
-            refined += (r - mixer.refined).sum(axis=0)
+            weights += w.reshape(INPUTS, -1, GATES).sum(axis=1, dtype=np.float64).T
+            refined += found
             n += len(which)
+        else:
+            bits[order[which]] += found
     out = Mixer()
     if n:
-        out.weights, out.refined = weights / n, mixer.refined + refined
+        out.weights, out.refined = weights / n, mixer.refined + refined.reshape(mixer.refined.shape)
     return bits, out
 
 
@@ -322,8 +409,8 @@ def score(texts: list[np.ndarray], own: Texts, cells: Cells, mixer: Mixer, leave
 
 
 def _encode():
-    """Batches of (doc_id, text, learned) to documents as codes, and a dictionary row at the end of each block."""
-    fields = pa.schema([("block", pa.string()), ("doc_id", pa.string()), ("n_bytes", pa.int64()), ("codes", pa.binary()), ("taught", pa.bool_()), ("words", pa.list_(pa.string())), ("learned", pa.list_(pa.int64()))])
+    """Batches of (doc_id, text, learned) to documents as codes, and a row for each word of its dictionary at the end of each block."""
+    fields = pa.schema([("block", pa.string()), ("doc_id", pa.string()), ("n_bytes", pa.int64()), ("codes", pa.binary()), ("taught", pa.bool_()), ("code", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
 
     def coded(name: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, sizes, taught, words, counts = (pa.concat_arrays([x[i] for x in rows]) if i not in (1, 4) else np.concatenate([x[i] for x in rows]) for i in range(5))
@@ -335,9 +422,11 @@ def _encode():
         for low in range(0, n, 1000):
             own = slice(low, low + 1000)
             size = len(sizes[own])
-            yield pa.RecordBatch.from_arrays([pa.array([name] * size), ids[own], pa.array(sizes[own], pa.int64()), binary[own], taught[own], pa.nulls(size, fields.types[5]), pa.nulls(size, fields.types[6])], schema=fields)
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.nulls(1, t) for t in fields.types[1:5]), one(found.dictionary), one(pa.array(learned))], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * size), ids[own], pa.array(sizes[own], pa.int64()), binary[own], taught[own], *(pa.nulls(size, t) for t in fields.types[5:])], schema=fields)
+        for low in range(0, len(learned), 10_000):
+            own = slice(low, low + 10_000)
+            size = len(learned[own])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * size), *(pa.nulls(size, t) for t in fields.types[1:5]), pa.array(np.arange(low, low + size), pa.int32()), found.dictionary[own], pa.array(learned[own])], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -365,6 +454,31 @@ def _codes(rows: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int32) for x in rows["codes"]]
 
 
+def packed(back: DataFrame) -> DataFrame:
+    """Dictionaries (of, code, word, leaf, c) as a row a block, written; packed ones are left as they are."""
+    if "counts" in back.columns:
+        return back
+
+    def pack(rows: pa.Table) -> pa.Table:
+        at, c, leaf = rows["code"].to_numpy(), rows["c"].to_numpy(), pc.fill_null(rows["leaf"], -1).to_numpy()
+        counts, leaves, odd = np.empty(len(at), np.int64), np.empty(len(at), np.int32), c < 2
+        counts[at], leaves[at] = c, leaf
+        words = pa.array(rows["word"].filter(pa.array(odd)).to_pylist(), pa.string())
+        binary = [pa.array([x.tobytes()], pa.binary()) for x in (counts, leaves, at[odd].astype(np.int32))]
+        return pa.table([pa.array([rows["of"][0].as_py()]), *binary, pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], ["of", "counts", "leaves", "odd", "words"])
+
+    return keep(back.groupBy("of").applyInArrow(pack, "of string, counts binary, leaves binary, odd binary, words array<string>"), "dictionaries")
+
+
+def _unpacked(found: pd.DataFrame) -> pd.DataFrame:
+    """(code, word, leaf, c) of a block's packed dictionary; of none, no rows."""
+    row = found.iloc[0] if len(found) else {"counts": b"", "leaves": b"", "odd": b"", "words": []}
+    c, leaf = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["leaves"], np.int32)
+    words = np.full(len(c), None, object)
+    words[np.frombuffer(row["odd"], np.int32)] = row["words"]
+    return pd.DataFrame({"code": np.arange(len(c)), "word": words, "leaf": np.where(leaf < 0, np.nan, leaf), "c": c})
+
+
 def _summed(parts: DataFrame) -> DataFrame:
     """(slice, data): sums of cells over parts (part, slice, data), FAN at a time."""
 
@@ -381,14 +495,10 @@ def _summed(parts: DataFrame) -> DataFrame:
 
 def model(held: DataFrame, back: DataFrame, code) -> tuple:
     """Broadcast cells and mixer, from the learned rows of held (block, codes, ...) and the dictionaries back."""
-    spark, held = back.sparkSession, held.where("taught")
+    spark, held, back = back.sparkSession, held.where("taught"), packed(back)
 
     def count(documents_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(2 * SLOTS, np.int64)
-        if len(documents_):
-            own = Texts(code.value, found, True)
-            for _, events, *_ in own.groups(_codes(documents_)):
-                total += events.sightings()
+        total = sightings(_codes(documents_), Texts(code.value, _unpacked(found), True)) if len(documents_) else np.zeros(2 * SLOTS, np.int64)
         parts = total.reshape(SLICES, -1)
         return pd.DataFrame({"part": [zlib.crc32(str(found["of"].iloc[0] if len(found) else "").encode()) & 0x7FFFFFFF] * SLICES, "slice": range(SLICES), "data": [zlib.compress(x.tobytes(), 1) for x in parts]})
 
@@ -404,7 +514,7 @@ def model(held: DataFrame, back: DataFrame, code) -> tuple:
         mixer, texts = Mixer(), _codes(documents_)
         if not texts:
             return pd.DataFrame({"place": pd.Series(dtype=int), "value": pd.Series(dtype=float)})
-        own, cells = Texts(code.value, found, True), Cells(counts.value, True)
+        own, cells = Texts(code.value, _unpacked(found), True), Cells(counts.value, True)
         for low in range(0, len(texts), 50):  # each run of texts starts where the one before ended
             part = texts[low : low + 50]
             mixer = score(part, own, cells, mixer, True)[1]
@@ -431,8 +541,8 @@ def score_documents(docs: DataFrame, learned) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"))
-    coded = keep(texts.mapInArrow(_encode(), "block string, doc_id string, n_bytes long, codes binary, taught boolean, words array<string>, learned array<long>"), "codes")
-    entries = coded.where("words IS NOT NULL").select("block", F.posexplode(F.arrays_zip("words", "learned")).alias("code", "x")).select("block", "code", F.col("x.words").alias("word"), F.col("x.learned").alias("n"))
+    coded = keep(texts.mapInArrow(_encode(), "block string, doc_id string, n_bytes long, codes binary, taught boolean, code int, word string, n long"), "codes")
+    entries = coded.where("word IS NOT NULL").select("block", "code", "word", "n")
     words = keep(entries.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "words")
     ends = int(coded.where("taught").count())
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
@@ -444,13 +554,14 @@ def score_documents(docs: DataFrame, learned) -> DataFrame:
     code = spark.sparkContext.broadcast(WordCode([x.c for x in top], rare - int(sums.once), int(sums.once), ends, [seen.get(b, 0) for b in range(256)]))
     leaves = spark.createDataFrame([(x.word, i) for i, x in enumerate(top)], "word string, leaf int")
     known = words.join(F.broadcast(leaves), "word", "left")
-    back = keep(entries.select(F.col("block").alias("of"), "code", "word").join(known, "word", "left").select("of", "code", F.when(F.coalesce("c", F.lit(0)) < 2, F.col("word")).alias("word"), "leaf", F.coalesce("c", F.lit(0)).alias("c")), "dictionaries")
+    # a partition's own words are hashed: entries, of which there are many more, need no sorting
+    back = packed(entries.select(F.col("block").alias("of"), "code", "word").join(known.hint("shuffle_hash"), "word", "left").select("of", "code", F.when(F.coalesce("c", F.lit(0)) < 2, F.col("word")).alias("word"), "leaf", F.coalesce("c", F.lit(0)).alias("c")))
     held = coded.where("codes IS NOT NULL").select("block", "doc_id", "n_bytes", "codes", "taught")
     counts, mixer = model(held, back, code)
     floor = math.log10(total + 0.5 * (distinct + 1))
 
     def total_up(documents_: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        own, texts_ = Texts(code.value, found, False), _codes(documents_)
+        own, texts_ = Texts(code.value, _unpacked(found), False), _codes(documents_)
         bits = score(texts_, own, Cells(counts.value), mixer.value)[0]
         base = np.log10(own.c + 0.5) - floor
         share = np.where(own.leaf == code.value.rare, np.log2(max(1, rare) / np.maximum(own.c, 1)), 0)
