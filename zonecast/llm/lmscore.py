@@ -315,13 +315,13 @@ class Texts:
         self.words[at[odd]] = [x.encode() for x in found["word"][odd]]
 
     def groups(self, texts: list[np.ndarray]) -> Iterator[tuple[list[int], Events, np.ndarray, bool]]:
-        """(texts, their events, the codes of all words in order, first) in groups of about SLICE words; a longer text in slices."""
+        """(texts, their events, the codes of all words in order, first) in groups of about SLICE words and up to 1,000 texts, each of which has a mixer; a longer text in slices."""
         group: list[tuple[int, int, int]] = []
         size = 0
         for i, own in enumerate(texts):
             for low in range(0, len(own) + 1, SLICE):
                 high = min(len(own) + 1, low + SLICE)
-                if group and (size + high - low > SLICE or low or group[0][1]):
+                if group and (size + high - low > SLICE or len(group) == 1000 or low or group[0][1]):
                     yield self._events(group, texts)
                     group, size = [], 0
                 group.append((i, low, high))
@@ -352,22 +352,24 @@ def sightings(texts: list[np.ndarray], own: Texts) -> np.ndarray:
     """
     code, total, some = own.code, np.zeros(2 * SLOTS, np.int64), SLICE
     start, span = len(code.offsets), len(code.offsets) + 1
-    leaves = np.concatenate([y for x in texts for y in ([start, start], own.leaf[x], [code.end])])
-    at = np.flatnonzero(leaves != start)
-    pairs = leaves[at - 1] * span + leaves[at]
-    for kind, keys in ((1, pairs), (2, leaves[at - 2] * span**2 + pairs)):
-        keys, counts = np.unique(keys, return_counts=True)
-        for low in range(0, len(keys), some):
-            before, leaf = np.divmod(keys[low : low + some], span)
-            lengths, _, node, bit = code.path(leaf)
-            cells = code.spread[node] ^ np.repeat(spread(kind, *((before,) if kind == 1 else (before % span, before // span))), lengths)
-            np.add.at(total, 2 * cells + bit, np.repeat(counts[low : low + some], lengths))
-    codes = np.concatenate(texts)
-    words = own.words[codes[own.leaf[codes] == code.unknown]]
-    for low in range(0, len(words), some):
-        *_, bit, cells = _spelt(code, words[low : low + some].tolist())
-        for x in cells:
-            np.add.at(total, 2 * x + bit, 1)
+    runs = np.cumsum([0, *(len(x) for x in texts)])[:-1] // (10 * SLICE)  # so many words at once
+    for run in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(runs)) + 1):
+        leaves = np.concatenate([y for i in run for y in ([start, start], own.leaf[texts[i]], [code.end])])
+        at = np.flatnonzero(leaves != start)
+        pairs = leaves[at - 1] * span + leaves[at]
+        for kind in (1, 2):
+            keys, counts = np.unique(pairs if kind == 1 else leaves[at - 2] * span**2 + pairs, return_counts=True)
+            for low in range(0, len(keys), some):
+                before, leaf = np.divmod(keys[low : low + some], span)
+                lengths, _, node, bit = code.path(leaf)
+                cells = code.spread[node] ^ np.repeat(spread(kind, *((before,) if kind == 1 else (before % span, before // span))), lengths)
+                np.add.at(total, 2 * cells + bit, np.repeat(counts[low : low + some], lengths))
+        codes = np.concatenate([texts[i] for i in run])
+        words = own.words[codes[own.leaf[codes] == code.unknown]]
+        for low in range(0, len(words), some):
+            *_, bit, cells = _spelt(code, words[low : low + some].tolist())
+            for x in cells:
+                np.add.at(total, 2 * x + bit, 1)
     return total
 
 
@@ -399,6 +401,7 @@ def score(texts: list[np.ndarray], own: Texts, cells: Cells, mixer: Mixer, leave
             n += len(which)
         else:
             bits[order[which]] += found
+        del events, x, gate, zero, one  # before the next group is made
     out = Mixer()
     if n:
         out.weights, out.refined = weights / n, mixer.refined + refined.reshape(mixer.refined.shape)
